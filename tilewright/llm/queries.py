@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, leaks, neardup, pieces, secrets
+from . import chat, fingerprints, langid, leaks, licenses, neardup, pieces, secrets
 from .common import fold_of, table
 
 
@@ -17,6 +17,14 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest_columns(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op2_columns(chat.op2_source(table(spark, sf_dir, "conversations")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_chat_format": op2_chat_format,
     "op3_fingerprints": op3_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_near_duplicates": op5_near_duplicates,
@@ -52,4 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle_sql(),
+    "op2_chat_format": chat.ORACLE_SQL,
+}
