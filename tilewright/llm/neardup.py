@@ -6,9 +6,11 @@ of retained values give the candidates; the packed union-sketch filters them; ex
 Two changes make the plain method lossless and safe against skew:
 
 * A fixed k of the smallest hashes can miss pairs and makes lists as long as the corpus for frequent shingles. So the order is
-  (frequent or not, hash): values whose bucket in a fixed-size table of corpus frequencies is overfull come last. A document
-  retains floor((1 - t) n) + 1 values: by the prefix argument two sets with Jaccard similarity t or more share a retained one.
-  Where at most FEW of its values are frequent, LEAST of them do: the chance to lose a pair is below (2/3)^LEAST, 1e-12.
+  (frequent or not, hash): values whose bucket in a fixed-size table of corpus frequencies is overfull come last. Two sets with
+  Jaccard similarity t or more share one of their first floor((1 - t) n) + 1 values in any order (the prefix argument), so no
+  document needs to retain more. Of n values with a share f of frequent ones, k of the others do: two such sets have
+  similarity (t - f) / (1 - f) or more on the values that aren't frequent, so none of the k is shared with a chance below
+  ((1 - t) / (1 - f)) ** k; k is taken so that this is below MISS.
 * Identical sets are one class before anything is paired. A list never makes all its pairs: each of its members meets the
   list's leader first; what is linked needs no further comparison, and only members of different components meet later.
 """
@@ -29,8 +31,8 @@ from .shingles import Shingler, finish
 
 #: The table of corpus frequencies: 2 ** BUCKET_BITS counters in CHUNKS pieces, whatever the size of the corpus.
 BUCKET_BITS, CHUNKS = 21, 256
-#: Retained values where at most a share FEW of a document's values is frequent.
-LEAST, FEW = 64, 0.2
+#: Chance that a pair at the least similarity shares no retained value.
+MISS = 1e-12
 #: Bits of the packed sketch, in 64-bit words; pairs that differ in more than FAR bits are dropped. At similarity 0.8 a
 #: tenth of the bits differ (12.8, deviation 3.4), so FAR is eight deviations away.
 SKETCH_WORDS, FAR = 2, 40
@@ -54,14 +56,14 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
         for c in range(CHUNKS):
             own = total[c * width : (c + 1) * width]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own.astype(np.uint8 if own.max() < 256 else np.uint32).tobytes()], pa.binary())], ["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own.astype(np.min_scalar_type(own.max())).tobytes()], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(data, np.uint8 if len(data) == width else np.uint32)
-                total[c] = total[c] + own if c in total else own.astype(np.int64)
+                own = np.frombuffer(data, f"u{len(data) // width}")
+                total[c] = total.get(c, 0) + own.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
@@ -84,7 +86,8 @@ def retained(s: np.ndarray, mask: np.ndarray, percent: int) -> np.ndarray:
     full = n - -(-percent * n // 100) + 1
     bucket = (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     hot = (mask[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1
-    k = min(full, LEAST) if percent >= 80 and hot.sum() <= FEW * n else full
+    miss = (1 - percent / 100) / max(1 - hot.sum() / n, 1e-9)
+    k = min(full, int(np.ceil(np.log(MISS) / np.log(miss)))) if miss < 0.9 else full
     return s[np.lexsort((finish(s), hot))[:k]]
 
 
@@ -171,9 +174,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     classes = durable(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("retained").alias("retained")))
     listed = classes.select("id", "n", "s0", "s1", F.explode("retained").alias("v"))
     # values that one class alone retains make no pair
-    common = listed.groupBy("v").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "s0", "s1")).alias("r")).where("members > 1")
-    common = durable(common)
-    posted = durable(listed.join(common.select("v", "members"), "v").select("v", "id", "n", "s0", "s1", "members"))
+    shared = durable(listed.groupBy("v").agg(F.count("*").alias("members")).where("members > 1"))
+    posted = durable(listed.join(shared, "v"))
+    common = posted.groupBy("v").agg(F.min(F.struct("id", "n", "s0", "s1")).alias("r"))
     led = posted.alias("l").join(common.select("v", "r.*").alias("r"), F.col("l.v") == F.col("r.v"))
     pairs = _pairs(led.where((F.col("l.id") != F.col("r.id")) & _likely("l", "r", percent)))
     edges = _linked(docs, pairs, size, percent)
