@@ -1,12 +1,17 @@
-"""A corpus pipeline of the llm operators: each stage's rows are written as Parquet and read again by the next."""
+"""A corpus pipeline of the llm operators: each stage's rows are written as Parquet and read again by the next.
+
+The folder is a fresh one under the session's spark.checkpoint.dir (shared by driver and executors); only where that is unset,
+as in tests, a temporary one is made.
+"""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import langid, leaks, pieces, secrets
+from tilewright.llm import langid, leaks, neardup, pieces, secrets
 from tilewright.llm.common import table
 from tilewright.llm.queries import piece_model
 
@@ -16,23 +21,39 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.fit(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more)."""
+    return neardup.keep_one(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
     return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; their secrets are replaced."""
+    """All documents stay; their secrets are replaced by the secrets' kinds."""
     return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return pieces.encode_documents(docs, piece_model())
 
 
-STAGES = [("language", language), ("benchmark", benchmark), ("secret", secret), ("encode", encode)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secret", secret), ("encode", encode)]
+
+#: Language and encoding can't be written in SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over the whole documents table."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-")
+    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
