@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from zlib import crc32
 
@@ -13,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import durable
+
+__all__ = ["durable", "table", "steps", "raw", "texts", "map_steps", "sha", "fold_of", "py_fold"]
+
 #: Bytes of text that one step of a Python operator holds at once; a longer single text is one step of its own.
 STEP_BYTES = 4 << 20
 
@@ -23,18 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder: computed once, and safe when an executor is lost.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
-    return df.checkpoint(eager=True)
-
-
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch whose texts have at most limit bytes together (one row at least)."""
     n = batch.num_rows

@@ -1,35 +1,5 @@
-"""Connected components of an edge table, without collecting edges or components anywhere."""
+"""Connected components, shared with the other operators."""
 
-from __future__ import annotations
+from ..operators.graph import components, tidy
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import durable
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each node of the edges can reach. Nodes without edges aren't in it.
-
-    Alternates large-star and small-star contractions (Kiveris et al. 2014), O(log n) rounds for most graphs. A hot node's
-    neighbours are only ever reduced to a minimum before the shuffle and joined, never gathered in a list.
-    Null ends are left out; loops and repeated edges don't matter.
-    """
-    pairs = durable(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    while True:
-        # large-star: every neighbour above a node is linked to the smallest of the node and its neighbours
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small-star: every neighbour below a node, and the node, is linked to the smallest of them
-        down = large.unionByName(pairs.where("u = v")).select("u", "v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = durable(small)
-        before = pairs.where("u <> v")
-        if now.count() == before.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():
-            break
-        pairs = now
-    star = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return star.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+__all__ = ["components", "tidy"]

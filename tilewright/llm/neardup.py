@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_steps, raw, steps
-from .components import components
+from .components import components, tidy
 from .shingles import Shingler, finish
 
 #: The table of corpus frequencies: 2 ** BUCKET_BITS counters in CHUNKS pieces, whatever the size of the corpus.
@@ -34,7 +34,8 @@ BUCKET_BITS, CHUNKS = 21, 256
 #: Chance that a pair at the least similarity shares no retained value.
 MISS = 1e-12
 #: Bits of the packed sketch, in 64-bit words; pairs that differ in more than FAR bits are dropped. At similarity 0.8 a
-#: tenth of the bits differ (12.8, deviation 3.4), so FAR is eight deviations away.
+#: tenth of the bits differ (12.8, deviation 3.4), so FAR is eight deviations away. Every shingle that one set alone has changes
+#: one bit at most, so pairs that differ in more bits than the similarity allows shingles are dropped as well.
 SKETCH_WORDS, FAR = 2, 40
 #: Lists of more members get more leaders before the rest of their pairs is compared.
 LONG, LEADERS = 32, 5
@@ -153,7 +154,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 def _likely(a: str, b: str, percent: int):
     """Sizes and packed sketches allow the similarity."""
     far = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
-    return (F.col(f"{a}.n") * percent <= F.col(f"{b}.n") * 100) & (F.col(f"{b}.n") * percent <= F.col(f"{a}.n") * 100) & (far <= FAR)
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (n * percent <= m * 100) & (m * percent <= n * 100) & (far <= FAR) & (far * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -183,6 +185,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     tested = pairs
     found = durable(components(edges))
     for _ in range(LEADERS):
+        tidy(docs)
         # the next leader of a long list: its least member outside its largest component
         now = posted.where(f"members > {LONG}").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = now.groupBy("v", "component").agg(F.count("*").alias("k"), F.min(F.struct("id", "n", "s0", "s1")).alias("first"))

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, map_steps, raw
@@ -113,9 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Several labels of one id count as toxic if any is. Without both classes the model scores everything 0.
     """
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where(F.col("toxic").isNotNull() & (fold_of("id", folds) != 0)).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    most = F.when(F.col("toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    chosen = marked.where("toxic in (0, 1)").withColumn("k", F.row_number().over(order)).where((F.col("k") <= max(SAMPLE.values())) & (F.col("k") <= most)).select("id", "toxic")
+    first = lambda k: marked.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE[k])
+    chosen = first(0).unionByName(first(1))
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
     sample = source.join(F.broadcast(chosen), "id")  # at most sum(SAMPLE) rows are broadcast
     sizes = sorted(sample.select(F.xxhash64("id").alias("h"), "id", "toxic", F.octet_length("text").alias("n")).take(2 * sum(SAMPLE.values())), key=lambda r: (r.h, r.id))
