@@ -66,8 +66,10 @@ def test_groups_equal_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_long_lists_need_several_leaders(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LONG", 3)
+def test_families_in_small_blocks(spark, monkeypatch):
+    """Lists of three linked documents are compared in blocks of four documents, over two columns at a time."""
+    for name, value in (("FAMILY", 3), ("BLOCK", 4), ("COLUMNS", 2)):
+        monkeypatch.setattr(neardup, name, value)
     rows = corpus(2)
     got = neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), size=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)

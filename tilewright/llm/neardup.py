@@ -12,7 +12,9 @@ Two changes make the plain method lossless and safe against skew:
   similarity (t - f) / (1 - f) or more on the values that aren't frequent, so none of the k is shared with a chance below
   ((1 - t) / (1 - f)) ** k; k is taken so that this is below MISS.
 * Identical sets are one class before anything is paired. A list never makes all its pairs: each of its members meets the
-  list's leader first; what is linked needs no further comparison, and only members of different components meet later.
+  list's leader first; what is linked needs no further comparison, and only members of different components meet later. Where
+  many documents stand just below the threshold of a large family, they are compared with it in blocks of a bounded size, which
+  give back a spanning forest of the links and no pairs.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ MISS = 1e-12
 #: tenth of the bits differ (12.8, deviation 3.4), so FAR is eight deviations away. Every shingle that one set alone has changes
 #: one bit at most, so pairs that differ in more bits than the similarity allows shingles are dropped as well.
 SKETCH_WORDS, FAR = 2, 40
-#: Lists of more members get more leaders before the rest of their pairs is compared.
-LONG, LEADERS = 32, 5
+#: A list whose largest component has this many members is compared in blocks: at most BLOCK documents and BLOCK_VALUES
+#: values a side, so a task's memory is bounded whatever the size of the list.
+FAMILY, BLOCK, BLOCK_VALUES, COLUMNS = 16, 1000, 1_500_000, 4096
 #: Ids are broadcast up to this number of rows, else joined.
 BROADCAST_ROWS = 2_000_000
 STEP = 1 << 20
@@ -123,9 +126,8 @@ def sketches(docs: DataFrame, mask: np.ndarray, size: int, percent: int) -> Data
     return map_steps(docs, "text", make, "id bigint, n bigint, key binary, s0 bigint, s1 bigint, retained array<bigint>", STEP)
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, s): the whole set of each of these documents, made again from its text."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
     def make():
@@ -136,7 +138,12 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 
         return run
 
-    sets = map_steps(docs.join(ids, "id", "left_semi"), "text", make, "id bigint, s binary", STEP).groupBy("id").agg(F.first("s").alias("s"))
+    return map_steps(docs.join(ids, "id", "left_semi"), "text", make, "id bigint, s binary", STEP).groupBy("id").agg(F.first("s").alias("s"))
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    sets = _full_sets(docs, durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), size)
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +158,84 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return durable(both.select("a", "b", "x", "y").mapInArrow(decide, "a bigint, b bigint"))
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices over COLUMNS values at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    a, b = np.concatenate(x), np.concatenate(y)
+    own_a, own_b = np.repeat(np.arange(len(x)), [s.size for s in x]), np.repeat(np.arange(len(y)), [s.size for s in y])
+    values = np.intersect1d(a, b)
+    place_a, place_b = np.searchsorted(values, a), np.searchsorted(values, b)
+    keep_a = values[np.minimum(place_a, values.size - 1)] == a if values.size else np.zeros(a.size, bool)
+    keep_b = values[np.minimum(place_b, values.size - 1)] == b if values.size else np.zeros(b.size, bool)
+    sides = []
+    for place, own, keep in ((place_a, own_a, keep_a), (place_b, own_b, keep_b)):
+        place, own = place[keep], own[keep]
+        order = np.argsort(place, kind="stable")
+        sides.append((place[order], own[order]))
+    for low in range(0, values.size, COLUMNS):
+        width = min(COLUMNS, values.size - low)
+        m = []
+        for (place, own), n in zip(sides, (len(x), len(y))):
+            i, j = np.searchsorted(place, (low, low + width))
+            one = np.zeros((n, width), np.float32)
+            one[own[i:j], place[i:j] - low] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _forest(ids: np.ndarray, others: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ids (rows) and others (columns)."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = int(ids[i]), int(others[j])
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def _linked_blocks(docs: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of each family's documents outside its main component with all of its documents. family: main, id, outside, n.
+
+    The outsiders are dealt to nx blocks, the others and the outsiders to ny; every pair of blocks is one small group.
+    """
+    blocks = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_VALUES), F.lit(1)).cast("int")
+    sizes = family.groupBy("main").agg(blocks(F.col("outside")).alias("nx"), blocks(F.lit(True)).alias("ny"))
+    own = family.join(sizes, "main").withColumn("h", F.xxhash64("id"))
+    i, j = F.pmod("h", "nx").cast("int"), F.pmod("h", "ny").cast("int")
+    left = own.where("outside").select("main", "id", F.lit(True).alias("x"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
+    right = own.select("main", "id", F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"), j.alias("j"))
+    ids = durable(family.select("id").distinct())
+    sets = _full_sets(docs, ids, size)
+    dealt = left.unionByName(right).join(sets, "id")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        x = group.column("x").to_numpy(zero_copy_only=False).astype(bool)
+        ident, data = group.column("id").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("s")]
+        a, b = np.flatnonzero(x), np.flatnonzero(~x)
+        edges: list[tuple[int, int]] = []
+        if a.size and b.size:
+            sa, sb = [data[k] for k in a], [data[k] for k in b]
+            inter = _intersections(sa, sb)
+            n, m = np.array([s.size for s in sa]), np.array([s.size for s in sb])
+            linked = 100 * inter >= percent * (n[:, None] + m[None] - inter)
+            linked &= ident[a][:, None] != ident[b][None]
+            edges = _forest(ident[a], ident[b], linked)
+        return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
+
+    return durable(dealt.groupBy("main", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
+
+
 def _likely(a: str, b: str, percent: int):
     """Sizes and packed sketches allow the similarity."""
     far = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
@@ -182,36 +267,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     led = posted.alias("l").join(common.select("v", "r.*").alias("r"), F.col("l.v") == F.col("r.v"))
     pairs = _pairs(led.where((F.col("l.id") != F.col("r.id")) & _likely("l", "r", percent)))
     edges = _linked(docs, pairs, size, percent)
-    tested = pairs
     found = durable(components(edges))
-    for _ in range(LEADERS):
-        tidy(docs)
-        # the next leader of a long list: its least member outside its largest component
-        now = posted.where(f"members > {LONG}").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = now.groupBy("v", "component").agg(F.count("*").alias("k"), F.min(F.struct("id", "n", "s0", "s1")).alias("first"))
-        main = parts.groupBy("v").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("v", "m.component")
-        lead = parts.join(main.withColumnRenamed("component", "main"), "v").where("component <> main").groupBy("v").agg(F.min(F.struct("first", "component")).alias("x")).select("v", "x.component", "x.first.*")
-        led = now.alias("l").join(lead.alias("r"), F.col("l.v") == F.col("r.v")).where((F.col("l.component") != F.col("r.component")) & _likely("l", "r", percent))
-        pairs = _pairs(led)
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        more = _linked(docs, pairs, size, percent)
-        tested = tested.unionByName(pairs)
-        if more.isEmpty():
-            break
-        edges = edges.unionByName(more)
-        found = durable(components(edges))
-    # what is left: members outside a list's largest component meet all members of other components
+    tidy(docs)
+    # what is left to compare: members of a list outside its largest component with all members of other components
     now = posted.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = now.groupBy("v", "component").agg(F.count("*").alias("k")).groupBy("v").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("m.component").alias("main"))
-    now = durable(now.join(main, "v"))
-    rest = now.where("component <> main").alias("l").join(now.alias("r"), (F.col("l.v") == F.col("r.v")) & (F.col("l.component") != F.col("r.component")) & ((F.col("l.id") < F.col("r.id")) | (F.col("r.component") == F.col("r.main"))) & _likely("l", "r", percent))
-    pairs = durable(_pairs(rest).join(tested, ["a", "b"], "left_anti"))
+    parts = now.groupBy("v", "component").agg(F.count("*").alias("k")).groupBy("v").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
+    now = durable(now.join(parts.where("parts > 1").select("v", F.col("m.component").alias("main"), F.col("m.k").alias("k")), "v"))
+    short = now.where(f"k < {FAMILY}")
+    rest = short.where("component <> main").alias("l").join(short.alias("r"), (F.col("l.v") == F.col("r.v")) & (F.col("l.component") != F.col("r.component")) & ((F.col("l.id") < F.col("r.id")) | (F.col("r.component") == F.col("r.main"))) & _likely("l", "r", percent))
+    pairs = _pairs(rest)
     if not pairs.isEmpty():
-        more = _linked(docs, pairs, size, percent)
-        if not more.isEmpty():
-            found = durable(components(edges.unionByName(more)))
+        edges = edges.unionByName(_linked(docs, pairs, size, percent))
+    family = durable(now.where(f"k >= {FAMILY}").groupBy("main", "id").agg(F.bool_or(F.col("component") != F.col("main")).alias("outside"), F.first("n").alias("n")))
+    if not family.isEmpty():
+        edges = edges.unionByName(_linked_blocks(docs, family, size, percent))
+    tidy(docs)
+    found = durable(components(edges))
     labelled = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "n", "key").join(labelled, "key", "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component", "id"))
