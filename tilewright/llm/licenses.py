@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
 
-LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: Words of lower-cased text: digits, a-z and everything beyond ASCII. The possessive form never backtracks.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 
 
 class Template(NamedTuple):
@@ -65,7 +66,7 @@ def lowered(text: Column) -> Column:
 
 
 def tokens(lower: Column) -> Column:
-    return F.regexp_extract_all(lower, F.lit(f"({LETTER}+)"), F.lit(1))
+    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
 def document_counts(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> dict[str, int]:
@@ -106,9 +107,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, counts: d
     keys = sorted({rare[0][0] for _, rare in index})
     words = sorted({w for _, rare in index for w, _ in rare})
 
-    leads = f"(?<!{LETTER})(?:{'|'.join(keys)})(?!{LETTER})"
-
-    def found(t: Column, led: Column) -> Column:
+    def found(t: Column) -> Column:
         hits = F.filter(F.transform(t, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(words))
 
         def all_of(h: Column) -> Column:
@@ -125,9 +124,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, counts: d
             return F.struct(F.concat(*[places(*x) for x in index]).alias("matches"), F.greatest(*share).alias("best"))
 
         none = F.struct(F.array().cast("array<struct<label:string,base:boolean,start:bigint>>").alias("matches"), F.lit(0.0).alias("best"))
-        return F.struct(F.size(t).cast("bigint").alias("n_words"), F.when(led, _let(hits, all_of)).otherwise(none).alias("found"))
+        return F.struct(F.size(t).cast("bigint").alias("n_words"), F.when(F.exists(t, lambda w: w.isin(keys)), _let(hits, all_of)).otherwise(none).alias("found"))
 
-    got = docs.select(docs[id_col].alias(id_col), _let(lowered(docs[text_col]), lambda s: _let(tokens(s), lambda t: found(t, s.rlike(leads)))).alias("x"))
+    got = docs.select(docs[id_col].alias(id_col), _let(tokens(lowered(docs[text_col])), found).alias("x"))
     return got.select(id_col, "x.n_words", "x.found.matches", "x.found.best")
 
 
