@@ -26,6 +26,13 @@ def tidy(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table for work that is heavy for its bytes: where its files make fewer tasks than there are cores, its rows are
+    dealt to as many tasks as cores. Large tables have more and stay as they are. Only for plain scans: it looks at their plan."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with row numbers from 0 in the given order, without a one-partition sort.
 

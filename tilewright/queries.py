@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequences as sq
 from .operators import consensus, coverage, design, evaluate, pcr, readmap, selection, similarity, simulate, windows
-from .operators.graph import durable
+from .operators.graph import durable, spread
 from .params import Design, Selection
 from .sources import fasta, tables
 
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def loci(spark: SparkSession, sf_dir: str, unknown: str = "") -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").alias("locus_ord"), F.col("doc_id").cast("string").alias("serotype"), sq.dna(F.col("text"), unknown).alias("sequence")).withColumn("length", F.length("sequence"))
 
 
@@ -187,7 +187,7 @@ def oligo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def primer_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first tile of every benchmark passage and of every page's letters; own scoring, so no SQL."""
-    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("gene"), sq.dna(F.col("html")).alias("sequence"))
+    own = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("gene"), sq.dna(F.col("html")).alias("sequence"))
     tiled = windows.tiles(own, P.amplicon, P.overlap, P.min_amplicon).where("amp_num = 1")
     return design.named(design.design(tiled, ["gene", "amp_num"]), "gene")
 
