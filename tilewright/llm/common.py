@@ -12,22 +12,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import durable
+from ..operators.graph import durable, spread
 
 __all__ = ["durable", "table", "steps", "raw", "texts", "map_steps", "sha", "fold_of", "py_fold"]
 
 #: Bytes of text that one step of a Python operator holds at once; a longer single text is one step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES, STEP_ROWS = 2 << 20, 10_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of an Arrow batch whose texts have at most limit bytes together (one row at least)."""
+def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch of at most `rows` rows whose texts have at most limit bytes together (one row at least)."""
     n = batch.num_rows
     if not n:
         return
@@ -36,7 +36,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, "right"))))
         yield batch.slice(at, to - at)
         at = to
 
@@ -50,13 +50,13 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def map_steps(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, limit: int = STEP_BYTES) -> DataFrame:
+def map_steps(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, limit: int = STEP_BYTES, rows: int = STEP_ROWS) -> DataFrame:
     """mapInArrow over slices of a bounded size. make() runs once a task and returns the function for a slice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in steps(batch, column, limit):
+            for part in steps(batch, column, limit, rows):
                 yield f(part)
 
     return df.mapInArrow(run, schema)

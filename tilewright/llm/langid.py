@@ -24,6 +24,8 @@ PER_LANGUAGE, SAMPLE = 400, 2000
 BITS3, BITS2 = 13, 12
 FEATURES = (1 << BITS3) + (1 << BITS2)
 RIDGE = 0.3
+#: Rows whose features are held at once; each has FEATURES counts.
+ROWS = 128
 #: Rows whose two best scores differ by less are ambiguous.
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
         return run
 
-    got = map_steps(sample, "text", make, "lang string, at array<int>, x array<float>", 1 << 20).toArrow()
+    got = map_steps(sample, "text", make, "lang string, at array<int>, x array<float>", 1 << 20, ROWS).toArrow()
     order = sorted(range(got.num_rows), key=lambda k: (got["lang"][k].as_py(), got["x"][k].as_py()))[:]
     x = np.zeros((got.num_rows, FEATURES), np.float32)
     y = np.zeros(got.num_rows, int)
@@ -159,7 +161,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return run
 
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return map_steps(source, "text", make, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean", 1 << 20).withColumnRenamed("id", id_col)
+    return map_steps(source, "text", make, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean", 1 << 20, ROWS).withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -174,4 +176,4 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
         return run
 
-    return map_steps(docs, text_col, make, docs.schema, 1 << 20)
+    return map_steps(docs, text_col, make, docs.schema, 1 << 20, ROWS)

@@ -26,7 +26,7 @@ from .common import map_steps, sha, texts
 SPACE = "▁"
 BYTE, CONTROL, UNKNOWN, NORMAL = 6, 3, 2, 1
 #: Distinct words whose ids a task remembers; beyond it the memory is emptied and filled again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def _fields(data: bytes):
@@ -296,4 +296,4 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return map_steps(source, "text", make, schema).withColumnRenamed("id", id_col)
+    return map_steps(source, "text", make, schema, 1 << 20).withColumnRenamed("id", id_col)
