@@ -82,9 +82,7 @@ def seq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LOCI} SELECT locus_ord AS doc_id, count(kmer)::BIGINT AS n_kmers, count(DISTINCT kmer)::BIGINT AS n_distinct FROM loci LEFT JOIN LATERAL (SELECT unnest(list_transform(range(1, length(sequence) - 10 + 1), lambda i: substr(sequence, i, 11))) AS kmer) ON true GROUP BY 1""")
 def kmer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = loci(spark, sf_dir)
-    counted = similarity.kmer_profile(rows, ["locus_ord"], 11).groupBy("locus_ord").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
-    return rows.select("locus_ord").join(counted, "locus_ord", "left").select(F.col("locus_ord").alias("doc_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_kmers"), F.coalesce("d", F.lit(0)).cast("bigint").alias("n_distinct"))
+    return similarity.kmer_counts(loci(spark, sf_dir), 11).select(F.col("locus_ord").alias("doc_id"), "n_kmers", "n_distinct")
 
 
 @query(f"""WITH c AS (SELECT {sq.dna_sql('text')} AS s FROM conversations) SELECT kmer, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, length(s) - 6 + 1), lambda i: substr(s, i, 7))) AS kmer FROM c) GROUP BY 1 ORDER BY n DESC, kmer LIMIT 20""")
