@@ -83,6 +83,14 @@ def test_growth_and_reads(spark):
     assert 0.1 < rate < 0.2
 
 
+def test_suite(spark):
+    every = simulate.suite(spark, replicates=3)
+    assert every.count() == 21
+    known = spark.createDataFrame([(x,) for x in ("19F", "19A", "23F", "23A", "06A", "06B", "14")], "serotype string")
+    ran = {r.mixture for r in simulate.members(every.where("replicate = 1"), known).collect()}
+    assert ran == {"equal_19F_19A", "equal_23F_23A", "unequal_19F_19A_80_20", "unequal_19F_19A_90_10"}  # 6A and 6B are no ids
+
+
 def test_allocation_and_accuracy(spark):
     counts = spark.createDataFrame([("p", "a", 60), ("p", "b", 30), ("q", "a", 10), ("r", "c", 0)], "primer string, serotype string, copies bigint")
     assert {(r.primer, r.serotype): r.num_reads for r in simulate.allocation(counts, 10).collect()} == {("p", "a"): 18, ("p", "b"): 9, ("q", "a"): 3}
