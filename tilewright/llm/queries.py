@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, langid, leaks, licenses, neardup, pages, pieces, secrets, toxicity
-from .common import fold_of, table
+from .common import LOWER, UPPER, fold_of, table
 
 
 def piece_model() -> str:
@@ -74,7 +74,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
+LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS s FROM w),
+sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY 1, 2) WHERE 100 * k >= 80 * (na + nb - k)),
+reach(d, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT e.b, reach.r FROM reach JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) e ON e.a = reach.d)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT d AS doc_id, min(r) AS c FROM reach GROUP BY 1) USING (doc_id)"""
+
+OP10_SQL = f"""
+WITH word AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS re),
+d AS (SELECT doc_id, regexp_extract_all({LOWERED}, re) AS ws FROM documents, word), i AS (SELECT item_id, regexp_extract_all({LOWERED}, re) AS ws FROM benchmark, word),
+iw AS (SELECT item_id, least(10, len(ws)) AS size, unnest(list_transform(range(1, greatest(2, len(ws) - 8)), lambda k: array_to_string(ws[k : k + 9], ' '))) AS g FROM i WHERE len(ws) > 0),
+dw AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS k, unnest(list_transform(range(1, len(ws) - size + 2), lambda k: array_to_string(ws[k : k + size - 1], ' '))) AS g FROM d, (SELECT DISTINCT size FROM iw)),
+hit AS (SELECT doc_id, item_id, k, size FROM dw JOIN iw USING (size, g)),
+pos AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY 1),
+own AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)"""
+
 SQL: dict[str, str] = {
+    "op5_near_duplicates": OP5_SQL,
+    "op10_decontamination": OP10_SQL,
     "op1_license_scan": licenses.oracle_sql(),
     "op2_chat_format": chat.ORACLE_SQL,
 }
