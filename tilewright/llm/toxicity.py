@@ -28,7 +28,8 @@ WORDS, LEVEL = 4, 9
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
 #: A word is toxic text's own if this share of toxic documents holds it, and RATIO times the share of ordinary ones.
 SHARE, RATIO = 0.02, 20
-TOP = 3
+#: Largest gains that count one by one; gains below SMALL tell how often a text's ordinary windows gain by chance.
+TOP, SMALL = 3, 4
 #: Bytes from the ordinary dictionary before each window: one match, without which zstandard would store short windows as they are.
 LEAD = 64
 EDGE = b".,;:!?%&*$#\"'()[]<>-_"
@@ -56,7 +57,10 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 class Model:
-    """The two dictionaries and the weights of (1, largest gains, log of the number of windows); none without both classes."""
+    """The two dictionaries and the weights of (1, largest gains, logs of the numbers of windows, of small and of large gains).
+
+    Without both classes there are no weights.
+    """
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
         self.weights = None
@@ -77,7 +81,8 @@ class Model:
         lead = self.ordinary[-LEAD:]
         gains = sorted((len(plain(w)) - len(more(w)) for w in [lead + b" " + x for x in windows(text)]), reverse=True)
         top = [float(max(0, g)) for g in gains[:TOP]] + [0.0] * (TOP - len(gains))
-        return [1.0, *top, float(np.log1p(len(gains)))]
+        counts = [len(gains), sum(0 < g < SMALL for g in gains), sum(g > SMALL for g in gains)]
+        return [1.0, *top, *np.log1p(counts).tolist()]
 
     def scores(self, batch: list[bytes]) -> np.ndarray:
         if self.weights is None or not batch:
