@@ -1,7 +1,8 @@
 """Queries over the driver's tables, one for each operator or family, and the same in DuckDB SQL where SQL can say it.
 
 Documents stand in for loci (their letters become bases), shipments of a supplier for intervals of a locus, and the first and
-last 25 bases of a benchmark passage for a primer pair. Every query runs over whole tables.
+last 25 bases of a benchmark passage for a primer pair. Every query runs over whole tables. reads_sampled, kmer_index, read_map_kmer
+and deconvolve_reads take the first AMP bases of each document, as their SQL does; read_map_naive takes all of them.
 """
 
 from __future__ import annotations
@@ -347,6 +348,7 @@ def read_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AMP, PER = 600, 3  # bases of an amplicon, reads of each
+READ, REACH = 150, 100  # bases of a read (shorter loci have no amplicon), bases of a tile on each side of its target
 
 
 def _amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +360,19 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("_", "serotype", "read_no").alias("read_id"), "serotype", "start", "read")
 
 
+def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amplicons over the whole of every locus: tiles of AMP bases whose number is primer_ord. A rest without a tile of its own
+    (under READ bases) lies inside the tile before it, so every base is in one."""
+    own = loci(spark, sf_dir).where(F.col("length") >= READ).select("locus_ord", "serotype", "sequence")
+    rows = windows.tiles(own, AMP - 2 * REACH, P.overlap, READ, REACH)
+    return rows.select(F.col("amp_num").cast("bigint").alias("primer_ord"), "locus_ord", "serotype", F.col("region").alias("amplicon_seq"))
+
+
+def _tiled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simulate.reads(_tiled(spark, sf_dir).withColumn("num_reads", F.lit(PER)), READ, keys=("serotype", "primer_ord"))
+    return rows.select(F.concat_ws("_", "serotype", "primer_ord", "read_no").alias("read_id"), "read")
+
+
 READS = f"""{LOCI}, amp AS (SELECT locus_ord, serotype, substr(sequence, 1, {AMP}) AS a FROM loci WHERE length(sequence) >= 150), rd0 AS (SELECT *, unnest(range(1, {PER + 1})) AS k FROM amp),
 rd AS (SELECT concat_ws('_', serotype, k) AS read_id, serotype, st, substr(a, st + 1, 150) AS read FROM (SELECT *, CASE WHEN length(a) <= 150 THEN 0 ELSE {sq.hashed_sql('serotype', 'k::VARCHAR', "'0'")} % (length(a) - 149) END::INT AS st FROM rd0))"""
 
@@ -383,7 +398,7 @@ def read_map_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def read_map_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readmap.map_by_mismatches(_reads(spark, sf_dir), _amplicons(spark, sf_dir)).select("read_id", "locus_ord", "mismatches")
+    return readmap.map_by_mismatches(_tiled_reads(spark, sf_dir), _tiled(spark, sf_dir)).select("read_id", "primer_ord", "locus_ord", "mismatches")
 
 
 @query(f"WITH {MAPPED}, c AS (SELECT locus_ord AS serotype, count(*)::BIGINT AS reads FROM mp GROUP BY 1) SELECT serotype, reads, reads / (SELECT sum(reads) FROM c)::BIGINT AS proportion FROM c")
