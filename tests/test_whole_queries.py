@@ -3,6 +3,7 @@
 import random
 
 from tilewright import queries
+from tilewright.operators import design
 
 
 def test_read_map_naive_takes_whole_documents(spark, tmp_path):
@@ -32,3 +33,34 @@ def test_read_map_naive_takes_whole_documents(spark, tmp_path):
     got = {r.read_id: (r.mismatches, r.primer_ord, r.locus_ord) for r in queries.read_map_naive(spark, str(tmp_path)).collect()}
     assert set(got) == set(reads) and {t for _, t, _ in got.values()} > {1, 2, 3}
     assert all(got[i] == brute(read) for i, read in reads.items())
+
+
+def test_primer_pick_designs_every_tile(spark, tmp_path):
+    rng = random.Random(6)
+    pages = [(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for k, n in enumerate([50, 650, 3000])]
+    spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    own = spark.createDataFrame(pages, "gene bigint, html string").select("gene", queries.sq.dna(queries.F.col("html")).alias("sequence"))
+    want = {}
+    for r in own.collect():
+        for start in range(0, len(r.sequence), 425):
+            region = r.sequence[start : start + 700]
+            got = design.pick_pair(region, 100, min(600, len(region))) if len(region) >= 400 else None
+            if got:
+                want[r.gene, start // 425 + 1] = (got["left_pos"] + start, got["right_pos"] + start, got["penalty"])
+    rows = queries.primer_pick(spark, str(tmp_path)).collect()
+    assert {(r.gene, r.amp_num): (r.left_pos, r.right_pos, r.penalty) for r in rows} == want and len(rows) == len(want)
+    assert len({k for _, k in want}) > 2
+
+
+def test_oligos_equal_plain_loops():
+    rng = random.Random(7)
+    for n in [0, 5, 21, 22, 23, 60, 100, 100, 100, 100]:
+        seq = "".join(rng.choice(rng.choice(["ACGT", "ACGGT", "ACGTN", "AAACGT"])) for _ in range(n + 20))
+        want = []
+        for size in range(22, 31):
+            for start in range(10, 10 + n - size + 1):
+                s = seq[start : start + size]
+                gc, tm = 100.0 * (s.count("G") + s.count("C")) / size, design.melting(s)
+                if 40 <= gc <= 60 and "N" not in s and design.longest_run(s) <= 4 and 59 <= tm <= 63:
+                    want.append((abs(tm - 61) + abs(size - 25), start, size, tm, gc))
+        assert design.oligos(seq, 10, 10 + n) == sorted(want)

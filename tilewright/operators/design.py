@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,18 +52,56 @@ def _revcomp(seq: str) -> str:
     return seq.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Enthalpy and entropy of two neighbours by their codes (0 for A to 3 for T, 4 for others), and of an end by its code."""
+    pairs, ends = np.zeros((5, 5, 2)), np.zeros((5, 2))
+    for k, a in enumerate("ACGT"):
+        ends[k] = ENDS[a]
+        for j, b in enumerate("ACGT"):
+            pairs[k, j] = STACK[a + b]
+    return pairs, ends
+
+
+PAIRS, EDGES = _tables()
+CODES = np.full(256, 4)
+CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+#: Degrees by which sums in another order may be off.
+SLACK = 1e-6
+
+
+def _likely(seq: str) -> tuple[list[int], list[int]]:
+    """Starts and sizes of the oligos that pass all limits, the melting temperature's within SLACK; from running sums."""
+    code = CODES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    if code.size < SIZE[0]:
+        return [], []
+    sums = lambda x: np.concatenate([np.zeros((1, *x.shape[1:]), x.dtype), np.cumsum(x, 0)])
+    starts, sizes = np.meshgrid(np.arange(code.size - SIZE[0] + 1), np.arange(SIZE[0], SIZE[2] + 1))
+    inside = starts + sizes <= code.size
+    a, n = starts[inside], sizes[inside]
+    strong, other = sums(((code == 1) | (code == 2)).astype(np.int64)), sums((code == 4).astype(np.int64))
+    same = np.ones(max(0, code.size - POLY), bool)  # POLY + 1 equal bases begin here
+    for k in range(1, POLY + 1):
+        same &= code[: same.size] == code[k : k + same.size]
+    runs = sums(same.astype(np.int64))
+    gc = 100.0 * (strong[a + n] - strong[a]) / n
+    ok = (gc >= GC[0]) & (gc <= GC[1]) & (other[a + n] == other[a]) & (runs[a + n - POLY] == runs[a])
+    a, n = a[ok], n[ok]
+    stacked = sums(PAIRS[code[:-1], code[1:]])
+    h, s = (stacked[a + n - 1] - stacked[a] + EDGES[code[a]] + EDGES[code[a + n - 1]]).T
+    tm = 1000 * h / (s + 0.368 * (n - 1) * math.log(SALT) + 1.987 * math.log(OLIGO / 4)) - 273.15
+    ok = (tm >= TM[0] - SLACK) & (tm <= TM[2] + SLACK)
+    return a[ok].tolist(), n[ok].tolist()
+
+
 def oligos(seq: str, low: int, high: int) -> list[tuple[float, int, int, float, float]]:
     """(penalty, start, size, tm, gc) of the allowed oligos of seq that lie in [low, high), best first."""
     out = []
-    for size in range(SIZE[0], SIZE[2] + 1):
-        for start in range(low, high - size + 1):
-            s = seq[start : start + size]
-            gc = 100.0 * (s.count("G") + s.count("C")) / size
-            if not GC[0] <= gc <= GC[1] or s.count("N") > 0 or longest_run(s) > POLY:
-                continue
-            tm = melting(s)
-            if TM[0] <= tm <= TM[2]:
-                out.append((abs(tm - TM[1]) + abs(size - SIZE[1]), start, size, tm, gc))
+    for start, size in zip(*_likely(seq[low:high])):
+        s = seq[low + start : low + start + size]
+        gc = 100.0 * (s.count("G") + s.count("C")) / size
+        tm = melting(s)
+        if TM[0] <= tm <= TM[2]:
+            out.append((abs(tm - TM[1]) + abs(size - SIZE[1]), low + start, size, tm, gc))
     return sorted(out)
 
 

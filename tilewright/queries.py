@@ -185,9 +185,9 @@ def oligo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def primer_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tile of every benchmark passage and of every page's letters; own scoring, so no SQL."""
+    """Every tile of every page's letters; own scoring, so no SQL."""
     own = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("gene"), sq.dna(F.col("html")).alias("sequence"))
-    tiled = windows.tiles(own, P.amplicon, P.overlap, P.min_amplicon).where("amp_num = 1")
+    tiled = windows.tiles(own, P.amplicon, P.overlap, P.min_amplicon)
     return design.named(design.design(tiled, ["gene", "amp_num"]), "gene")
 
 
