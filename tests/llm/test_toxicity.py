@@ -40,3 +40,15 @@ def test_without_labels(spark):
     model = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
     assert toxicity.score(empty(spark), model).count() == 0
+
+
+def test_all_ordinary_windows_train(monkeypatch):
+    train, seen = toxicity._dictionary, []
+    monkeypatch.setattr(toxicity, "_dictionary", lambda size, samples: seen.append(list(samples)) or train(size, samples))
+    rng = random.Random(3)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n)).encode()
+    late = [text("tuvwxyz", 400) for _ in range(40)]
+    ordinary = [text("abcdefg", 165_000), b"not trained on", *[t for x in late for t in (x, b"not trained on")]]
+    model = toxicity.Model([b"nastyword and more"] * 8, ordinary)
+    assert len(seen[0]) == sum(len(toxicity.windows(t)) for t in ordinary[::2]) > 40_000
+    assert {w for t in late for w in toxicity.windows(t)} <= set(seen[0]) and model.weights is not None

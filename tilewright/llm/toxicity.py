@@ -6,7 +6,7 @@ dictionary and with the ordinary one plus the toxic one; the bytes that the seco
 windows gain nothing. A document's largest gains are weighed by a calibrated logistic threshold.
 
 Fitting takes a bounded sample of labelled rows: SAMPLE documents of each class at most, chosen by a hash of the id, until
-SAMPLE_BYTES; half of them train the dictionaries, the other half calibrates. Every document is scored over its whole text.
+SAMPLE_BYTES; half of them train the dictionaries with all of their windows, the other half calibrates. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ class Model:
         if len(toxic) < 2 or len(ordinary) < 2:
             return
         t, o = toxic[::2], ordinary[::2]
-        self.ordinary = _dictionary(ORDINARY_BYTES, [w for x in o for w in windows(x)][:40_000])
+        self.ordinary = _dictionary(ORDINARY_BYTES, [w for x in o for w in windows(x)])
         own = own_words(t, o)
         counted = Counter(w for x in own for w in x.split())
         words = b" ".join(sorted(counted, key=lambda w: (counted[w], w)))[-TOXIC_BYTES:]  # the trainer may leave some out
