@@ -59,3 +59,27 @@ def test_near_finds_terms_in_any_order():
     phrases = leaks.Phrases([("x", b"red green blue")], 10)
     shard = leaks.Shard(phrases, [b"blue and red or green", b"red " + b"x " * 20 + b"green blue", b""])
     assert shard.near(phrases.groups[0][0], 6) == [(0, 0)]
+
+
+def near_brute(text, items, span, window=10):
+    words = leaks.words_of((text or "").encode())
+    found = set()
+    for name, own in items:
+        terms = leaks.words_of((own or "").encode())
+        size = min(window, len(terms))
+        wanted = [set(terms[k : k + size]) for k in range(len(terms) - size + 1)] if size else []
+        if any(w <= set(words[k : k + span]) for w in wanted for k in range(len(words))):
+            found.add(name)
+    return sorted(found)
+
+
+def test_proximity_equals_brute_force(spark):
+    docs, bench, items = tables(spark)
+    for span in (10, leaks.SPAN):
+        want = sorted((r.doc_id, near_brute(r.text, items, span)) for r in docs.where("doc_id is not null").collect())
+        for limit in (leaks.BLOCK_CHARS, 900):
+            got = leaks.decontaminate(docs, bench, limit=limit, span=span).collect()
+            assert sorted((r.doc_id, r.near) for r in got if r.doc_id is not None) == want
+            assert all(r.n_near == len(r.near) and set(r.items) <= set(r.near) for r in got)
+            assert any(set(r.near) - set(r.items) for r in got)
+    assert leaks.decontaminate(docs, bench, span=None).columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]

@@ -4,7 +4,7 @@ The index is sharded by document: each step of a task builds, for the documents
 term that the benchmark uses (one flat position space, documents apart). A window of the benchmark is looked up from its
 rarest term in the shard: the position lists are intersected after their offsets are taken off, rarest first, so that
 what remains are exact phrase occurrences. Proximity matches (all terms of a window within a span, in any order) come
-from the same lists. Sharding by document keeps all of a document's postings together: nothing of the corpus is shuffled.
+from the same lists and tell which items a document holds in another order or with words between. Sharding by document keeps all of a document's postings together: nothing of the corpus is shuffled.
 
 The benchmark is sent to the executors in blocks of at most BLOCK_CHARS characters, as many as it needs.
 """
@@ -23,6 +23,8 @@ from .common import map_steps, raw, sha, steps
 #: Lower-cases A-Z and makes every other ASCII byte that is no word byte a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WINDOW = 10
+#: Words within which all terms of a window make a proximity match; exact occurrences are among them.
+SPAN = 20
 #: Characters of benchmark text that are sent to the executors at once.
 BLOCK_CHARS = 32_000_000
 
@@ -103,27 +105,53 @@ class Shard:
 
     def near(self, group: np.ndarray, span: int) -> list[tuple[int, int]]:
         """(document, window index) where every term of the window occurs within `span` words, in any order."""
-        out = []
-        for w, row in enumerate(group):
-            need = np.unique(row)
-            if self.counts[need].min() == 0:
-                continue
-            rare = need[np.argmin(self.counts[need])]
-            anchors = self.lists[self.first[rare] : self.first[rare + 1]]
-            hits = set()
-            for a in anchors.tolist():
-                doc = int(np.searchsorted(self.begin, a, "right")) - 1
-                lo, hi = max(int(self.begin[doc]), a - span + 1), min(int(self.begin[doc + 1]) - 1, a + span)
-                around = self.tokens[lo:hi]
-                last = {int(t): -1 for t in need}
-                for k, t in enumerate(around.tolist()):
-                    if t in last:
-                        last[t] = k
-                        if min(last.values()) >= 0 and k - min(last.values()) < span:
-                            hits.add(doc)
-                            break
-            out += [(d, w) for d in sorted(hits)]
-        return out
+        length = group.shape[1]
+        counts = self.counts[group]
+        possible = np.flatnonzero(counts.min(1) > 0)
+        if not possible.size:
+            return []
+        order = np.argsort(counts[possible], axis=1, kind="stable")  # rarest first
+        rarest = order[:, 0]
+        sizes = counts[possible, rarest]
+        size = self.tokens.size + 1
+        keys = self.tokens[self.lists].astype(np.int64) * size + self.lists  # ascending: by term, then position
+        hits: set[tuple[int, int]] = set()
+        for at in np.split(np.arange(possible.size), np.flatnonzero(np.diff(np.cumsum(sizes) // 2_000_000)) + 1):
+            n = sizes[at]
+            index = np.repeat(at, n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            anchor = self.lists[np.repeat(self.first[group[possible[at], rarest[at]]], n) + step]
+            doc = np.searchsorted(self.begin, anchor, "right") - 1
+            low, high = np.maximum(self.begin[doc], anchor - span + 1), np.minimum(self.begin[doc + 1] - 1, anchor + span)
+            for k in range(1, length):  # keep the anchors that have the next rarest term on either side
+                if not index.size:
+                    break
+                base = group[possible[index], order[index, k]].astype(np.int64) * size
+                place = np.searchsorted(keys, base + low)
+                ok = (place < keys.size) & (keys[np.minimum(place, keys.size - 1)] < base + high)
+                index, doc, low, high = index[ok], doc[ok], low[ok], high[ok]
+            for d, w, a, b in zip(doc.tolist(), possible[index].tolist(), low.tolist(), high.tolist()):
+                if (d, w) not in hits and self._within(set(group[w].tolist()), a, b, span):
+                    hits.add((d, w))
+        return sorted(hits, key=lambda x: (x[1], x[0]))
+
+    def _within(self, need: set[int], low: int, high: int, span: int) -> bool:
+        """Whether `span` consecutive words of [low, high) hold all terms of need."""
+        last = dict.fromkeys(need, -1)
+        for k, t in enumerate(self.tokens[low:high].tolist()):
+            if t in last:
+                last[t] = k
+                if (least := min(last.values())) >= 0 and k - least < span:
+                    return True
+        return False
+
+    def near_items(self, span: int) -> list[set[int]]:
+        """Ranks of the items by document of which a window's terms occur within `span` words."""
+        items: list[set[int]] = [set() for _ in range(self.n_words.size)]
+        for group, owners in self.phrases.groups:
+            for d, w in self.near(group, span):
+                items[d].update(owners[w])
+        return items
 
     def matches(self) -> tuple[np.ndarray, list[set[int]]]:
         """Hit words by document and ranks of the items by document; self.covered marks the words."""
@@ -155,10 +183,13 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = B
 
 
 SCHEMA = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
+NEAR = ", n_near bigint, near array<string>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", limit: int = BLOCK_CHARS) -> DataFrame:
-    """Per document row: id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated, items.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", limit: int = BLOCK_CHARS, span: int | None = SPAN) -> DataFrame:
+    """Per document row: id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated, items,
+    n_near and near (the items of which a window's distinct terms all stand within `span` consecutive words, in any order and with
+    any words between). The other columns tell of exact occurrences only. Without a span n_near and near are left out.
 
     Null or empty texts have no words and are clean. Items without words have no window; items of fewer words than a window
     are one window; repeated items count once by id. An empty benchmark leaves all documents clean. Null item ids are left out.
@@ -167,15 +198,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = source.schema["id"].dataType.simpleString()
     blocks = list(item_blocks(benchmark, item_col, item_text_col, limit)) if _one_block(benchmark, item_text_col, limit) else None
     if blocks is not None:
-        return _scan(source, blocks[0] if blocks else [], window, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
-    return _scan_blocks(source, item_blocks(benchmark, item_col, item_text_col, limit), window, kind).withColumnRenamed("id", id_col)
+        return _scan(source, blocks[0] if blocks else [], window, f"id {kind}, {SCHEMA}{NEAR if span else ''}", span).withColumnRenamed("id", id_col)
+    return _scan_blocks(source, item_blocks(benchmark, item_col, item_text_col, limit), window, kind, span).withColumnRenamed("id", id_col)
 
 
 def _one_block(benchmark: DataFrame, text_col: str, limit: int) -> bool:
     return (benchmark.agg(F.sum(F.length(text_col)).alias("n")).first().n or 0) <= limit
 
 
-def _scan(source: DataFrame, items: list[tuple[str, bytes]], window: int, schema: str) -> DataFrame:
+def _names(phrases: Phrases, items: list[set[int]]) -> list[list[str]]:
+    return [[phrases.names[k] for k in sorted(x)] for x in items]
+
+
+def _scan(source: DataFrame, items: list[tuple[str, bytes]], window: int, schema: str, span: int | None) -> DataFrame:
     sent = source.sparkSession.sparkContext.broadcast(items)
 
     def make():
@@ -184,16 +219,20 @@ def _scan(source: DataFrame, items: list[tuple[str, bytes]], window: int, schema
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             shard = Shard(phrases, raw(part, "text"))
             n_hit, items = shard.matches()
-            names = [[phrases.names[k] for k in sorted(x)] for x in items]
+            names = _names(phrases, items)
             cols = [part.column(0), pa.array(shard.n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([sha(",".join(x).encode()) for x in names], pa.string()), pa.array(n_hit > 0), pa.array(names, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+            labels = ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
+            if span:
+                near = _names(phrases, shard.near_items(span))
+                cols, labels = [*cols, pa.array([len(x) for x in near], pa.int64()), pa.array(near, pa.list_(pa.string()))], [*labels, "n_near", "near"]
+            return pa.RecordBatch.from_arrays(cols, labels)
 
         return run
 
     return map_steps(source, "text", make, schema, 2 << 20)
 
 
-def _scan_blocks(source: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], window: int, kind: str) -> DataFrame:
+def _scan_blocks(source: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], window: int, kind: str, span: int | None) -> DataFrame:
     """A benchmark beyond one block: each block's pass gives covered words of documents that it hits; they are united by row."""
     found = None
     for items in blocks:
@@ -209,19 +248,20 @@ def _scan_blocks(source: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], w
                     for d in range(part.num_rows):
                         inside = np.diff(shard.covered[shard.begin[d] : shard.begin[d + 1]].astype(np.int8), prepend=0, append=0)
                         spans.append([f"{a}:{b}" for a, b in zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist())])
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shard.n_words), pa.array(spans, pa.list_(pa.string())), pa.array([[phrases.names[k] for k in sorted(x)] for x in items], pa.list_(pa.string()))], ["id", "row", "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shard.n_words), pa.array(spans, pa.list_(pa.string())), pa.array(_names(phrases, items), pa.list_(pa.string())), pa.array(_names(phrases, shard.near_items(span) if span else [set()] * part.num_rows), pa.list_(pa.string()))], ["id", "row", "n_words", "spans", "items", "near"])
 
         keyed = source.select("id", F.coalesce("text", F.lit("")).alias("text"))
-        one = keyed.mapInArrow(run, f"id {kind}, row string, n_words bigint, spans array<string>, items array<string>")
-        one = one.select("id", F.xxhash64("row").alias("row"), "n_words", "spans", "items")
+        one = keyed.mapInArrow(run, f"id {kind}, row string, n_words bigint, spans array<string>, items array<string>, near array<string>")
+        one = one.select("id", F.xxhash64("row").alias("row"), "n_words", "spans", "items", "near")
         found = one if found is None else found.unionByName(one)
-    flat = found.groupBy("id", "row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("copies"))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    flat = found.groupBy("id", "row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), united("items"), united("near"), F.count("*").alias("copies"))
     spans = F.array_sort(F.transform(F.array_distinct("spans"), lambda x: F.struct(F.split(x, ":")[0].cast("bigint").alias("a"), F.split(x, ":")[1].cast("bigint").alias("b"))))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
     merged = F.aggregate(spans, zero, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("bigint"), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to")))
-    counted = flat.select("id", "row", "n_words", merged["n"].alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items")
+    counted = flat.select("id", "row", "n_words", merged["n"].alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", F.size("near").cast("bigint").alias("n_near"), "near")
     rows = source.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
-    return rows.alias("l").join(counted.alias("r"), F.expr("l.id <=> r.id and l.row = r.row")).select("l.id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items")
+    return rows.alias("l").join(counted.alias("r"), F.expr("l.id <=> r.id and l.row = r.row")).select("l.id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", *(["n_near", "near"] if span else []))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -58,7 +58,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    """Exact matches only: the SQL fixes the columns, so the proximity matches of decontaminate() have no place here."""
+    return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=None).drop("items")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
