@@ -83,3 +83,11 @@ def test_proximity_equals_brute_force(spark):
             assert all(r.n_near == len(r.near) and set(r.items) <= set(r.near) for r in got)
             assert any(set(r.near) - set(r.items) for r in got)
     assert leaks.decontaminate(docs, bench, span=None).columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
+
+
+def test_clean_takes_a_benchmark_of_many_blocks(spark):
+    docs, bench, items = tables(spark)
+    assert sum(1 for _ in leaks.item_blocks(bench, "item_id", "text", 300)) > 2
+    kept = leaks.clean(docs, bench, limit=300)
+    want = [r for r in docs.collect() if not brute(r.text, items)[4]]
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, want)) and len(want) < docs.count()

@@ -264,11 +264,15 @@ def _scan_blocks(source: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], w
     return rows.alias("l").join(counted.alias("r"), F.expr("l.id <=> r.id and l.row = r.row")).select("l.id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", *(["n_near", "near"] if span else []))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, without those that hold a benchmark window."""
-    if not _one_block(benchmark, "text", BLOCK_CHARS):
-        raise ValueError("for a benchmark beyond one block, join decontaminate() to the documents")
-    blocks = list(item_blocks(benchmark, "item_id", "text"))
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, without those that hold a benchmark window.
+
+    A benchmark beyond one block makes one pass a block, which keeps the digests of the texts that it hits; rows with such a text
+    go. Neither the passes' memory nor what they keep grows with the number of blocks beyond the hits.
+    """
+    if not _one_block(benchmark, "text", limit):
+        return _clean_blocks(docs, item_blocks(benchmark, "item_id", "text", limit), text_col, window)
+    blocks = list(item_blocks(benchmark, "item_id", "text", limit))
     sent = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else [])
 
     def make():
@@ -281,3 +285,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
         return run
 
     return map_steps(docs, text_col, make, docs.schema, 2 << 20)
+
+
+def _clean_blocks(docs: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], text_col: str, window: int) -> DataFrame:
+    hit = None
+    for items in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def make(sent=sent):
+            phrases = Phrases(sent.value, window)
+
+            def run(part: pa.RecordBatch) -> pa.RecordBatch:
+                batch = raw(part, "text")
+                n_hit, _ = Shard(phrases, batch).matches()
+                return pa.RecordBatch.from_arrays([pa.array([sha(batch[k]) for k in np.flatnonzero(n_hit)], pa.string())], ["_hit"])
+
+            return run
+
+        one = map_steps(docs.select(docs[text_col].alias("text")), "text", make, "_hit string", 2 << 20)
+        hit = one if hit is None else hit.unionByName(one)
+    return docs.join(hit.distinct(), F.sha2(docs[text_col].cast("binary"), 256) == F.col("_hit"), "left_anti")
