@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tilewright.llm import langid
 from tilewright.llm.common import py_fold
 
@@ -42,6 +44,12 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in langid.predict(documents(spark), model).collect()} == {"und"}
 
 
+def test_without_labels_only_texts_without_a_letter_go(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_known(docs, langid.fit(docs))
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 6, 7, 8, None, 10} and kept.columns == docs.columns
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 7, 12):
         code = langid.codewords(n)

@@ -165,14 +165,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text gets a language."""
+    """The rows of docs, all columns, whose text gets a language; where the model knows none, those whose text has a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         own = sent.value
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            return part.filter(pa.array([x != UNKNOWN for x in own.predict(texts(part, text_col))[0]], pa.bool_()))
+            batch = texts(part, text_col)
+            keep = [x != UNKNOWN for x in own.predict(batch)[0]] if own.languages else [has_letter(t) for t in batch]
+            return part.filter(pa.array(keep, pa.bool_()))
 
         return run
 
