@@ -6,7 +6,8 @@ is a transition array over byte classes. One pass over the bytes of a batch find
 vectorised: the batch is cut into lanes at bytes that lead every state to the start state, and all lanes step together.
 
 No match can hold such a reset byte, so the stretch between two of them that holds an end is matched again with the
-rule's own expression to get its leftmost non-overlapping spans.
+rule's own expression to get its leftmost non-overlapping spans. Only private keys go over many lines: where a BEGIN marker is
+found, their expression is matched in the whole text.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ class Rule(NamedTuple):
     group: int = 0
     least: int = 0
     ignore_case: bool = False
+    #: Whether a match may cross reset bytes; `exact` then looks at the whole text.
+    whole: bool = False
 
 
 WORD, URL = "[A-Za-z0-9]", "[A-Za-z0-9_-]"
@@ -43,9 +46,12 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]{24}", "[0-9a-f]+", 0, 24),
 )
+#: What follows a private key's BEGIN line: all up to its END line, if no other marker comes first; else header lines and lines of base64.
+KEY_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1-----"
+KEY_LINES = r"(?:\s*+[A-Za-z][A-Za-z-]*+:\x20[^\r\n]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{32,}+={0,2})++(?:(?:\s|\\[rn])*+=?[A-Za-z0-9+/]++={0,2}(?=\s*+\Z|[\x20\t]*+[\r\n]))?+"
 #: Spans that are added to those of BASE.
 ADDED = (
-    Rule("private_key", "-----BEGIN ", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN ", r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?)-----(?:" + KEY_TO_END + "|" + KEY_LINES + ")?+", whole=True),
     Rule("git_token", "gh[pousr]_" + WORD, "gh[pousr]_" + WORD + "+", 0, 40),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("web_token", r"eyJ" + URL + r"+\.eyJ", "eyJ" + URL + r"+\.eyJ" + URL + r"+\." + URL + "+"),
@@ -298,6 +304,7 @@ class Scanner:
         right = np.searchsorted(cuts, places)
         limits = np.cumsum([len(x) + 1 for x in batch])
         out: dict[int, list[tuple[int, int, int]]] = {}
+        done: set[tuple[int, int]] = set()
         every = np.unique(right)
         which = np.bitwise_or.reduceat(bits, np.searchsorted(right, every))
         for r, b in zip(every.tolist(), which.tolist()):
@@ -305,8 +312,11 @@ class Scanner:
             doc = int(np.searchsorted(limits, low, "right"))
             base = int(limits[doc - 1]) if doc else 0
             for k, rule in enumerate(self.rules):
-                if b >> k & 1:
-                    out.setdefault(doc, []).extend((m.start() - base, k, m.end() - base) for m in self.exact[k].finditer(joined, low, high) if m.end(rule.group) - m.start(rule.group) >= rule.least)
+                if b >> k & 1 and (doc, k) not in done:
+                    if rule.whole:
+                        done.add((doc, k))
+                    a, z = (base, int(limits[doc]) - 1) if rule.whole else (low, high)
+                    out.setdefault(doc, []).extend((m.start() - base, k, m.end() - base) for m in self.exact[k].finditer(joined, a, z) if m.end(rule.group) - m.start(rule.group) >= rule.least)
         return {d: sorted(x) for d, x in out.items() if x}
 
 
