@@ -54,3 +54,24 @@ def test_codewords_are_apart():
     for n in (2, 4, 7, 12):
         code = langid.codewords(n)
         assert len({tuple(r) for r in code}) == n
+
+
+def test_every_language_is_learnt(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    own = {f"l{k:03}": [word() for _ in range(6)] for k in range(130)}
+    rows = [(j * 1000 + k, " ".join(rng.choice(own[lang]) for _ in range(30)), lang) for k, lang in enumerate(own) for j in range(6 if k % 3 else 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    seen = {r[2] for r in rows if py_fold(r[0], 4) != 2}
+    assert model.languages == sorted(seen) and len(seen) > 120
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) / len(rows) > 0.9
+
+
+def test_codewords_as_by_pairs():
+    for n in (8, 12, 30):
+        bits = int(langid.np.ceil(10 * langid.np.log2(n)))
+        codes = [langid.np.random.default_rng(seed).choice([-1, 1], (n, bits)) for seed in range(50)]
+        least = [min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) for c in codes]
+        assert (langid.codewords(n) == codes[int(langid.np.argmax(least))]).all()

@@ -5,7 +5,8 @@ lower-cased letters) predicts it. Decoding is loss-weighted: a codeword's distan
 classifiers' margins against its bits, each weighted by how well that classifier does on rows it wasn't fitted to; the nearest
 codeword wins, and a small gap to the second marks the row as ambiguous.
 
-Fitting takes a bounded sample of labelled rows (PER_LANGUAGE, at most SAMPLE in all, chosen by a hash of the id); the
+Every language of the labelled rows is learnt. Fitting takes a bounded sample of them (PER_LANGUAGE, at most SAMPLE in all or
+LEAST a language, chosen by a hash of the id); the
 classifiers are ridge regressions solved in the sample's own space, so leave-one-out margins come with the solution and
 calibrate weights and scores.
 """
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, map_steps, texts
 
-#: Labelled rows that fitting may take, for a language and in all.
-PER_LANGUAGE, SAMPLE = 400, 2000
+#: Labelled rows that fitting may take, for a language and in all; beyond SAMPLE / LEAST languages it takes LEAST of each.
+PER_LANGUAGE, SAMPLE, LEAST = 400, 2000, 5
 BITS3, BITS2 = 13, 12
 FEATURES = (1 << BITS3) + (1 << BITS2)
 RIDGE = 0.3
@@ -64,7 +65,7 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1] + [1 if split >> k & 1 else -1 for k in range(n - 1)] for split in range((1 << (n - 1)) - 1)]).T
     bits = int(np.ceil(10 * np.log2(n)))
     codes = [np.random.default_rng(seed).choice([-1, 1], (n, bits)) for seed in range(50)]
-    least = [min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) for c in codes]
+    least = [(bits - (c @ c.T)[np.tril_indices(n, -1)].max()) // 2 for c in codes]
     return codes[int(np.argmax(least))]
 
 
@@ -117,13 +118,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[label_col].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold_of("id", held_out[0]) != held_out[1]))
-    languages = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect())
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((0, FEATURES)), np.zeros(0, int))
-    each = min(PER_LANGUAGE, SAMPLE // len(languages))
+    each = min(PER_LANGUAGE, max(LEAST, SAMPLE // len(languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").where(F.col("lang").isin(languages)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("id").alias("chosen"))
-    # at most SAMPLE ids are broadcast; repeated ids may bring a few rows more, which the second count removes
+    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("id").alias("chosen"))
+    # at most SAMPLE ids, or LEAST a language, are broadcast; repeated ids may bring a few rows more, which the second count removes
     sample = rows.where("text is not null").join(F.broadcast(chosen.distinct()), F.col("id") == F.col("chosen")).select("text", "lang")
 
     def make():
