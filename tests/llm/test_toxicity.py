@@ -42,13 +42,28 @@ def test_without_labels(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
-def test_all_ordinary_windows_train(monkeypatch):
-    train, seen = toxicity._dictionary, []
-    monkeypatch.setattr(toxicity, "_dictionary", lambda size, samples: seen.append(list(samples)) or train(size, samples))
+def test_all_windows_of_the_sample_take_part(monkeypatch):
+    seen, own = set(), toxicity.lengths
+    monkeypatch.setattr(toxicity, "lengths", lambda content, batch, threads=1: seen.update(batch) or own(content, batch, threads))
     rng = random.Random(3)
     text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n)).encode()
     late = [text("tuvwxyz", 400) for _ in range(40)]
-    ordinary = [text("abcdefg", 165_000), b"not trained on", *[t for x in late for t in (x, b"not trained on")]]
-    model = toxicity.Model([b"nastyword and more"] * 8, ordinary)
-    assert len(seen[0]) == sum(len(toxicity.windows(t)) for t in ordinary[::2]) > 40_000
-    assert {w for t in late for w in toxicity.windows(t)} <= set(seen[0]) and model.weights is not None
+    ordinary = [text("abcdefg", 60_000), *late]
+    toxic = [text("klmnop", 50) + b" nastyword and more" for _ in range(12)]
+    model = toxicity.Model(toxic, ordinary)
+    rest = [t for k, t in enumerate(ordinary) if k % 3]  # every third one is the base's
+    assert model.weights is not None and {w for t in toxic + rest for w in toxicity.windows(t)} <= seen
+    assert b"nastyword" in model.toxic and b"nastyword" not in model.ordinary
+
+
+def test_windows_cover_a_text():
+    text = b"One two  three\nfour five"
+    assert b"".join(toxicity.windows(text)).split() == text.lower().split()
+
+
+def test_few_documents_and_repeated_ids(spark):
+    docs, labels = tables(spark, 12)
+    assert toxicity.fit(docs, labels).weights is None
+    docs, labels = tables(spark, 200)
+    extra = labels.selectExpr("doc_id", "toxic", "'x' AS text", "1 AS n", "2 AS h", "3 AS g")
+    assert toxicity.fit(docs.unionByName(docs), extra).weights.tolist() == toxicity.fit(docs, labels).weights.tolist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 from zlib import crc32
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import durable, spread
 
-__all__ = ["durable", "table", "steps", "raw", "texts", "map_steps", "sha", "fold_of", "py_fold"]
+__all__ = ["durable", "table", "steps", "raw", "texts", "map_steps", "sha", "fold_of", "py_fold", "hashed_sample"]
 
 #: Bytes of text that one step of a Python operator holds at once; a longer single text is one step of its own.
 STEP_BYTES, STEP_ROWS = 2 << 20, 10_000
@@ -73,3 +74,26 @@ def fold_of(column: str, folds: int) -> F.Column:
 
 def py_fold(doc_id: int, folds: int) -> int:
     return crc32(str(doc_id).encode()) % folds
+
+
+def hashed_sample(rows: DataFrame, id_col: str, group: str, want: dict[Any, int]) -> tuple[dict[Any, list], dict[Any, int]]:
+    """Ids by group, want[group] of them at most, those with the smallest hashes; and how many rows each group has.
+
+    Rows are first thinned to hashes below a threshold that leaves about half as many ids again as are wanted, so what tasks
+    hand on together is bounded however many partitions there are. Null ids and groups outside `want` are left out.
+    """
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(group).alias("g")).where(F.col("id").isNotNull() & F.col("g").isin(*want))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).collect()
+    if not sizes:
+        return {}, {}
+    below = F.lit(0.0)
+    for r in sizes:
+        below = F.when(F.col("g") == F.lit(r.g), F.lit((1.5 * want[r.g] + 50) / max(1, r.ids) * (1 << 32))).otherwise(below)
+    few = rows.select("g", "id", hashed.alias("h")).where(F.col("h") < below).distinct().collect()
+    chosen: dict[Any, list] = {}
+    for r in sorted(few, key=lambda r: (r.h, r.id)):
+        own = chosen.setdefault(r.g, [])
+        if len(own) < want[r.g]:
+            own.append(r.id)
+    return chosen, {r.g: r.n for r in sizes}

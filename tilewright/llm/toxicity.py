@@ -1,17 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic text has of its own (the words that a fair
-share of toxic documents and hardly any ordinary one holds). A window of a few words is compressed twice, with the ordinary
-dictionary and with the ordinary one plus the toxic one; the bytes that the second saves are the window's gain. Ordinary
-windows gain nothing. A document's largest gains are weighed by a calibrated logistic threshold.
-
-Fitting takes a bounded sample of labelled rows: SAMPLE documents of each class at most, chosen by a hash of the id, until
-SAMPLE_BYTES; half of them train the dictionaries with all of their windows, the other half calibrates. Every document is scored over its whole text.
+Two zstandard dictionaries are trained, one on windows of toxic documents and one on windows of ordinary ones. A window of a few
+words is compressed twice, with the one dictionary and with the other, both behind the same base of ordinary text; the bytes that
+the toxic one saves are the window's gain.
+
+Most windows of a toxic document are ordinary, so both dictionaries are trained in ROUNDS, always on whole documents' windows:
+of two halves of the labelled documents each is compressed with the dictionaries of the other half, a threshold is set
+where windows of toxic documents gain as much LIKELIER times as often as those of ordinary ones, and the next dictionaries
+are trained on the windows beyond it, the toxic one on those of toxic documents, the ordinary one on those that pass by mistake.
+The first round compresses with the plain texts of the other half instead; the last KEPT rounds' dictionaries stay.
+
+How often each gain occurs in documents of either kind, measured across the halves, calibrates a document's windows; a logistic
+threshold weighs them up. Fitting takes a bounded sample of labelled rows: SAMPLE documents of each class at most, chosen by a
+hash of the id, until SAMPLE_BYTES. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -20,84 +25,132 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_steps, raw
+from .common import durable, fold_of, hashed_sample, map_steps, raw
 
 #: Labelled documents of each class, and bytes of text, that fitting may take.
-SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1200}, 48_000_000
-WORDS, LEVEL = 4, 9
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
-#: A word is toxic text's own if this share of toxic documents holds it, and RATIO times the share of ordinary ones.
-SHARE, RATIO = 0.02, 20
-#: Largest gains that count one by one; gains below SMALL tell how often a text's ordinary windows gain by chance.
-TOP, SMALL = 3, 4
-#: Bytes from the ordinary dictionary before each window: one match, without which zstandard would store short windows as they are.
-LEAD = 64
-EDGE = b".,;:!?%&*$#\"'()[]<>-_"
+SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1200}, 16_000_000
+WORDS, LEVEL = 3, 13
+#: Bytes of ordinary text before either dictionary, of what each round trains on half the documents, and of each text of the first round.
+BASE_BYTES, OWN_BYTES, PLAIN_BYTES = 131_072, 3072, 1_200_000
+#: The dictionary trainer's segment and pattern lengths, and windows that are one sample to it.
+SEGMENT, PATTERN, JOINED = 12, 6, 20
+ROUNDS, LIKELIER, KEPT = 5, 2.0, 3
+#: Gains beyond are counted as these.
+LOW, HIGH = -12, 12
+#: Stands at the end of every dictionary and before each window: one match, without which zstandard would store short windows as they are.
+LEAD = bytes(range(240, 252))
 
 
 def windows(text: bytes) -> list[bytes]:
     words = text.lower().split()
-    return [b" ".join(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
+    return [b" %s " % b" ".join(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
 
 
-def own_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Per toxic text its words that are toxic text's own, joined; texts without any are left out."""
-    strip = lambda t: [w.strip(EDGE) for w in t.lower().split()]
-    a, b = (Counter(w for t in texts for w in set(strip(t))) for texts in (toxic, ordinary))
-    own = {w for w, k in a.items() if w and k >= max(2, SHARE * len(toxic)) and k / len(toxic) >= RATIO * b[w] / max(1, len(ordinary))}
-    found = [[w for w in strip(t) if w in own] for t in toxic]
-    return [b" " + b" ".join(x) + b" " for x in found if x]
+def trained(samples: list[bytes]) -> bytes:
+    """A zstandard dictionary of the windows; where they are too few to train on, the windows themselves."""
+    joined = [b"".join(samples[k : k + JOINED]) for k in range(0, len(samples), JOINED)]
+    try:
+        return zstd.train_dictionary(OWN_BYTES, joined, k=SEGMENT, d=PATTERN).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(joined)[-OWN_BYTES:]
 
 
-def _dictionary(size: int, samples: list[bytes]) -> bytes:
-    try:
-        return zstd.train_dictionary(size, samples).as_bytes()
-    except zstd.ZstdError:  # too few samples to train on: what there is, the most recent last
-        return b" ".join(samples)[-size:]
+@lru_cache(maxsize=4)
+def _compressor(content: bytes) -> zstd.ZstdCompressor:
+    own = zstd.ZstdCompressionDict(content + LEAD, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    how = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    own.precompute_compress(compression_params=how)
+    return zstd.ZstdCompressor(compression_params=how, dict_data=own)
+
+
+def lengths(content: bytes, batch: list[bytes], threads: int = 1) -> np.ndarray:
+    """Compressed length of each window with a dictionary."""
+    out, c = np.zeros(len(batch), np.int64), _compressor(content)
+    for k in range(0, len(batch), 20_000):
+        part = [LEAD + w for w in batch[k : k + 20_000]]
+        out[k : k + len(part)] = [len(x) for x in c.multi_compress_to_buffer(part, threads=threads)]
+    return out
+
+
+class _Windows:
+    """The windows of some documents: each different one once, and which documents have it."""
+
+    def __init__(self, texts: list[bytes]):
+        known: dict[bytes, int] = {}
+        own = [[known.setdefault(w, len(known)) for w in windows(t)] for t in texts]
+        self.n, self.distinct = len(texts), list(known)
+        self.doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        self.which = np.array([k for x in own for k in x], np.int64)
+        pairs = np.unique(self.doc * max(1, len(known)) + self.which)
+        self.once = pairs % max(1, len(known))  # windows by document, repeated ones once
+
+    def gains(self, toxic: bytes, ordinary: bytes, threads: int) -> np.ndarray:
+        return lengths(ordinary, self.distinct, threads) - lengths(toxic, self.distinct, threads)
+
+    def beyond(self, gains: np.ndarray, least: int) -> list[bytes]:
+        return [self.distinct[k] for k in self.once[gains[self.once] >= least]]
+
+    def histogram(self, gains: np.ndarray) -> np.ndarray:
+        """How many windows of each document have each gain from LOW to HIGH."""
+        width = HIGH - LOW + 1
+        at = np.clip(gains, LOW, HIGH)[self.which] - LOW if self.which.size else self.which
+        return np.bincount(self.doc * width + at, minlength=self.n * width).reshape(self.n, width).astype(float)
+
+
+def _threshold(toxic: np.ndarray, ordinary: np.ndarray) -> int:
+    """The least gain that is LIKELIER times as frequent in toxic documents; where none is, the one that stands out most."""
+    grid = np.arange(1, HIGH)
+    t, o = (np.array([(x >= g).mean() if x.size else 0.0 for g in grid]) for x in (toxic, ordinary))
+    good = np.flatnonzero(t >= LIKELIER * o + 1e-4)
+    return int(grid[good[0]] if good.size else grid[np.argmax((t - o) / np.sqrt(o + 1e-5))])
 
 
 class Model:
-    """The two dictionaries and the weights of (1, largest gains, logs of the numbers of windows, of small and of large gains).
+    """The two dictionaries, the calibration of gains and the weights of a document's features.
 
-    Without both classes there are no weights.
+    odds: how many labelled documents are toxic for each ordinary one, where the sample's own odds differ. Without four documents
+    of each class there are no weights.
     """
 
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], odds: float | None = None, threads: int = 4):
         self.weights = None
-        if len(toxic) < 2 or len(ordinary) < 2:
+        if len(toxic) < 4 or len(ordinary) < 4:
             return
-        t, o = toxic[::2], ordinary[::2]
-        self.ordinary = _dictionary(ORDINARY_BYTES, [w for x in o for w in windows(x)])
-        own = own_words(t, o)
-        counted = Counter(w for x in own for w in x.split())
-        words = b" ".join(sorted(counted, key=lambda w: (counted[w], w)))[-TOXIC_BYTES:]  # the trainer may leave some out
-        self.toxic = _dictionary(TOXIC_BYTES, own) + b" " + words + b" " + self.ordinary
-        x = np.array([self.features(d) for d in toxic[1::2] + ordinary[1::2]])
-        y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-        self.weights = logistic(x, y)
-
-    def features(self, text: bytes) -> list[float]:
-        plain, more = _compressors(self.ordinary, self.toxic)
-        lead = self.ordinary[-LEAD:]
-        gains = sorted((len(plain(w)) - len(more(w)) for w in [lead + b" " + x for x in windows(text)]), reverse=True)
-        top = [float(max(0, g)) for g in gains[:TOP]] + [0.0] * (TOP - len(gains))
-        counts = [len(gains), sum(0 < g < SMALL for g in gains), sum(g > SMALL for g in gains)]
-        return [1.0, *top, *np.log1p(counts).tolist()]
+        flat = lambda texts, n: b" ".join(b"".join(windows(t)) for t in texts)[:n]
+        base = flat(ordinary[::3], BASE_BYTES)
+        rest = [t for k, t in enumerate(ordinary) if k % 3] if len(ordinary) >= 12 else ordinary
+        texts = {1: [toxic[h::2] for h in (0, 1)], 0: [rest[h::2] for h in (0, 1)]}
+        found = {c: [_Windows(x) for x in texts[c]] for c in texts}
+        plain = {c: [flat(x, PLAIN_BYTES) for x in texts[c]] for c in texts}
+        n = min(len(x) for c in plain for x in plain[c])
+        own, rounds = {c: [x[:n] for x in plain[c]] for c in plain}, []
+        for k in range(ROUNDS + 1):
+            gains = {c: [w.gains(base + own[1][1 - h], base + own[0][1 - h], threads) for h, w in enumerate(found[c])] for c in found}
+            if k < ROUNDS:
+                least = _threshold(*[np.concatenate([g[w.once] for g, w in zip(gains[c], found[c])]) for c in (1, 0)])
+                rounds = [*rounds[1 - KEPT :], {c: [trained(w.beyond(g, least)) for g, w in zip(gains[c], found[c])] for c in found}]
+                own = {c: [b"".join(r[c][h] for r in rounds) for h in (0, 1)] for c in found}
+        counts = {c: np.concatenate([w.histogram(g) for g, w in zip(gains[c], found[c])]) for c in found}
+        self.toxic, self.ordinary = (base + own[c][0] + own[c][1] for c in (1, 0))
+        t, o = counts[1].sum(0), counts[0].sum(0)
+        usual = (o + 1) / (o.sum() + o.size)
+        self.evidence = np.log((t + 5 * usual) / (t.sum() + 5)) - np.log(usual)
+        self.weights = logistic(np.concatenate([self.features(counts[c]) for c in (1, 0)]), np.repeat([1.0, 0.0], [len(counts[c]) for c in (1, 0)]))
+        if odds:
+            self.weights[0] += np.log(odds * len(ordinary) / len(toxic))
+
+    def features(self, counts: np.ndarray) -> np.ndarray:
+        """1, the evidence of all windows, also by their number, that number, how many gain 2 to 8 or more, and the largest gain."""
+        total, n = counts @ self.evidence, counts.sum(1)
+        more = np.cumsum(counts[:, ::-1], 1)[:, ::-1]
+        top = np.where(counts > 0, np.arange(LOW, HIGH + 1), 0).max(1)
+        return np.column_stack([np.ones(len(counts)), total, total / np.sqrt(n + 4), np.log1p(n), *[np.log1p(more[:, g - LOW]) for g in range(2, 9)], top / 4])
 
     def scores(self, batch: list[bytes]) -> np.ndarray:
         if self.weights is None or not batch:
             return np.zeros(len(batch))
-        return 1 / (1 + np.exp(-np.clip(np.array([self.features(t) for t in batch]) @ self.weights, -30, 30)))
-
-
-@lru_cache(maxsize=2)
-def _compressors(ordinary: bytes, toxic: bytes):
-    def make(content: bytes):
-        own = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        own.precompute_compress(level=LEVEL)
-        return zstd.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-    return make(ordinary), make(toxic)
+        own = _Windows(batch)
+        return 1 / (1 + np.exp(-np.clip(self.features(own.histogram(own.gains(self.toxic, self.ordinary, 1))) @ self.weights, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -113,26 +166,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> Model:
-    """Learns from labelled documents whose crc32(id as text) modulo folds isn't 0. Null labels and texts are not learnt from.
+    """Learns from labelled documents whose crc32(id as text) modulo folds isn't 0. Null labels, ids and texts are not learnt from.
 
-    Several labels of one id count as toxic if any is. Without both classes the model scores everything 0.
+    Several labels of one id count as toxic if any is; of several texts of one id the smallest is taken. Without four documents of
+    each class the model scores everything 0.
     """
-    marked = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where(F.col("toxic").isNotNull() & (fold_of("id", folds) != 0)).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    first = lambda k: marked.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE[k])
-    chosen = first(0).unionByName(first(1))
+    marked = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of("id", folds) != 0))
+    marked = marked.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    chosen, counts = hashed_sample(marked, "id", "toxic", SAMPLE)
+    if not chosen:
+        return Model([], [])
+    ids = docs.sparkSession.createDataFrame([(i, k) for k in chosen for i in chosen[k]], marked.select("id", F.col("toxic").cast("int").alias("toxic")).schema)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-    sample = source.join(F.broadcast(chosen), "id")  # at most sum(SAMPLE) rows are broadcast
-    sizes = sorted(sample.select(F.xxhash64("id").alias("h"), "id", "toxic", F.octet_length("text").alias("n")).take(2 * sum(SAMPLE.values())), key=lambda r: (r.h, r.id))
-    keep, total = set(), 0
+    # one row for each of the ids: a repeated id's rows are reduced before they are moved
+    rows = durable(source.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
+    sizes = sorted(rows.select(F.xxhash64("id").alias("h"), "id", F.octet_length("text").alias("n")).collect(), key=lambda r: (r.h, r.id))
+    keep, total = [], 0
     for r in sizes:
         if total + r.n <= SAMPLE_BYTES:
-            keep.add(r.id)
+            keep.append(r.id)
             total += r.n
-    if not keep:
-        return Model([], [])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(keep)], chosen.select("id").schema)
-    rows = sorted(sample.join(F.broadcast(ids), "id").collect(), key=lambda r: (r.id, r.text))
-    return Model(*[[r.text.encode() for r in rows if r.toxic == k] for k in (1, 0)])
+    got = sorted(rows.where(F.col("id").isin(keep)).collect(), key=lambda r: r.id)
+    return Model(*[[r.text.encode() for r in got if r.toxic == k] for k in (1, 0)], odds=counts.get(1, 0) / max(1, counts.get(0, 0)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
