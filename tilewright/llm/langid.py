@@ -6,8 +6,7 @@ classifiers' margins against its bits, each weighted by how well that classifier
 codeword wins, and a small gap to the second marks the row as ambiguous.
 
 Every language of the labelled rows is learnt. Fitting takes a bounded sample of them (PER_LANGUAGE, at most SAMPLE in all or
-LEAST a language, chosen by a hash of the id); the
-classifiers are ridge regressions solved in the sample's own space, so leave-one-out margins come with the solution and
+LEAST a language, chosen by a hash of the id); the classifiers are ridge regressions solved in the sample's own space, so leave-one-out margins come with the solution and
 calibrate weights and scores.
 """
 
@@ -15,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_steps, texts
+from .common import fold_of, hashed_sample, map_steps, texts
 
 #: Labelled rows that fitting may take, for a language and in all; beyond SAMPLE / LEAST languages it takes LEAST of each.
 PER_LANGUAGE, SAMPLE, LEAST = 400, 2000, 5
@@ -114,7 +113,8 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out: tuple[int, int] = (4, 2)) -> Model:
     """Learns from labelled rows with a letter that aren't held out: crc32 of the id as text, modulo held_out[0], is not held_out[1].
 
-    Null ids, labels and texts are not learnt from. Without any labelled row the model predicts `und` for all.
+    Null ids, labels and texts are not learnt from; of several texts of one id and label the smallest is. Without any labelled row the
+    model predicts `und` for all.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[label_col].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold_of("id", held_out[0]) != held_out[1]))
@@ -122,10 +122,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     if not languages:
         return Model([], np.zeros((0, FEATURES)), np.zeros(0, int))
     each = min(PER_LANGUAGE, max(LEAST, SAMPLE // len(languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("id").alias("chosen"))
-    # at most SAMPLE ids, or LEAST a language, are broadcast; repeated ids may bring a few rows more, which the second count removes
-    sample = rows.where("text is not null").join(F.broadcast(chosen.distinct()), F.col("id") == F.col("chosen")).select("text", "lang")
+    chosen, _ = hashed_sample(rows, "id", "lang", dict.fromkeys(languages, each))
+    # at most SAMPLE ids, or LEAST a language, are broadcast
+    ids = docs.sparkSession.createDataFrame([(i, k) for k in chosen for i in chosen[k]], rows.select("id", "lang").schema)
+    sample = rows.where("text is not null").join(F.broadcast(ids), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
