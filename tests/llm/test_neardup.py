@@ -110,3 +110,51 @@ def test_packed_sketches_differ_in_no_more_bits_than_shingles():
         b = np.unique(np.append(a[: max(1, n - n // 5)], rng.integers(0, 1 << 64, n // 10, np.uint64)))
         bits = sum(int(x ^ y).bit_count() for x, y in zip(neardup.packed(a).view(np.uint64), neardup.packed(b).view(np.uint64)))
         assert bits <= np.setxor1d(a, b).size
+
+
+def thue_morse(n, flip=False):
+    s = "ab" if not flip else "ba"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_made_to_coincide_do_not(spark):
+    """Words that any polynomial modulo a power of two gives the same hash, alone and as shingles of texts."""
+    for n in (8, 64, 128, 1024, 2048, 4096):
+        h, _ = Shingler(2).words([thue_morse(n).encode(), thue_morse(n, True).encode()])
+        assert h[0] != h[1]
+    rows = [(1, " ".join([thue_morse(2048), "x"] * 3)), (2, " ".join([thue_morse(2048, True), "x"] * 3))]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), size=2).collect()
+    assert {r.component_id for r in got} == {1, 2}
+
+
+def test_long_lists_go_to_blocks(spark, monkeypatch):
+    for name, value in (("LIST_PAIRS", 3), ("LEADER_PAIRS", 2), ("BLOCK", 5)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = corpus(4)
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), size=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+
+
+def test_several_texts_of_one_id(spark):
+    """Such an id has one component, whichever order the rows come in; repeated rows change nothing."""
+    texts = ["a b c d e f g h i j", "a b c d e f g h i k", "q r s t u v w x y z", "a b c d e f g h i j"]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (3, texts[2]), (2, texts[2])]
+    got = [sorted({(r.doc_id, r.component_id) for r in neardup.groups(spark.createDataFrame(x, "doc_id bigint, text string"), size=2).collect()}) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and [i for i, _ in got[0]] == [1, 2, 3]
+    assert len(neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS _gone0", "2 AS id", "3 AS own"), size=2).collect()) in (2, 3)
+
+
+def test_union_estimate_keeps_what_is_similar(spark):
+    rng = np.random.default_rng(5)
+    rows, same = [], []
+    for k in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        own = a[rng.random(a.size) > rng.choice([0.02, 0.1, 0.6])]
+        b = np.unique(np.append(own, rng.integers(0, 1 << 64, int(rng.integers(0, 1 + n // 10)), np.uint64)))
+        rows.append((k, neardup.bottom(a).tolist(), neardup.bottom(b).tolist()))
+        same.append(100 * np.intersect1d(a, b).size >= 80 * np.union1d(a, b).size)
+    kept = {r.k for r in spark.createDataFrame(rows, "k int, x array<bigint>, y array<bigint>").where(neardup.union_likely("x", "y")).collect()}
+    assert {k for k, s in enumerate(same) if s} <= kept and len(kept) < 300

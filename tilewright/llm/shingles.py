@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_random = np.random.default_rng(20240607)
-BYTE = _random.integers(0, 1 << 64, 256, np.uint64)
-BASE = np.uint64(0x5851F42D4C957F2D)
-INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
+SEED = np.uint64(0x5851F42D4C957F2D)
+#: Longer words are hashed one by one.
+LONG = 64
+#: Masks that keep the first 0 to 8 bytes of a little-endian 64-bit number.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -21,29 +23,30 @@ def finish(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle hashes of texts: lower-cased A-Z, words parted by ASCII white space, `size` words to a shingle.
 
-    A text of fewer words is one shingle; without words it has none. A word's hash is a polynomial over a random table of
-    bytes, taken from running sums of the whole batch; a shingle's mixes those of its words in order.
+    A text of fewer words is one shingle; without words it has none. A word's hash mixes its bytes eight at a time through a
+    nonlinear function (longer words: xxh3), so no family of words coincides by construction; a shingle's mixes those of its
+    words in order.
     """
 
     def __init__(self, size: int):
         self.size = size
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if self.up.size < n:
-            n = max(n, 1 << 20)
-            one = np.ones(1, np.uint64)
-            self.up = np.multiply.accumulate(np.append(one, np.full(n - 1, BASE)))
-            self.down = np.multiply.accumulate(np.append(one, np.full(n - 1, INVERSE)))
 
     def words(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and how many of them each text has."""
-        data = np.frombuffer(b"\n".join([*batch, b""]).lower(), np.uint8)
+        joined = b"\n".join([*batch, b""]).lower()
+        data = np.frombuffer(joined, np.uint8)
         gap = np.append(True, SPACES[data])
         starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-        self._powers(data.size + 1)
-        sums = np.append(np.uint64(0), np.cumsum(BYTE[data] * self.down[: data.size]))
-        h = finish((sums[ends] - sums[starts]) * self.up[starts] + (ends - starts).astype(np.uint64) * MIX)
+        lengths = ends - starts
+        eight = np.ndarray(data.size + 1, "<u8", joined + bytes(8), strides=(1,))  # the eight bytes from each place on
+        h = SEED + lengths.astype(np.uint64) * MIX
+        short = np.flatnonzero(lengths <= LONG)
+        for at in range(0, int(min(LONG, lengths.max(initial=0))), 8):
+            short = short[lengths[short] > at]
+            part = eight[starts[short] + at] & FIRST[np.minimum(lengths[short] - at, 8)]
+            h[short] = finish((h[short] ^ part) * MIX + SEED)
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]])
         limits = np.cumsum([len(t) + 1 for t in batch])
         return h, np.diff(np.append(0, np.searchsorted(starts, limits)))
 
