@@ -43,3 +43,27 @@ def test_collisions_are_told_apart(spark):
 def test_canonical_form():
     same = ["Straße  ﬁn", " strasse\tFIN\n", "STRASSE fin"]
     assert len({fingerprints.canonical(t) for t in same}) == 1
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    rows = [(3, "c c"), (1, "a"), (2, "B"), (None, None)]
+    for kind in ("int", "smallint", "string", "bigint"):
+        df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr(f"cast(doc_id AS {kind}) AS doc_id", "text", "1 AS id", "2 AS part", "3 AS digest", "4 AS prefix", "5 AS row")
+        got = fingerprints.fingerprint(df)
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        by = {r.doc_id if r.doc_id is None else int(r.doc_id): r for r in got.collect()}
+        assert by[3].n_chars == 3 and by[None].n_chars == 0
+        assert by[2].edited_sha256 == hashlib.sha256(fingerprints.edited("B", "a").encode()).hexdigest()
+
+
+def test_one_id_and_one_text_hold_most_rows(spark, monkeypatch):
+    """A third of all rows are one id's, another third one text; the order of the others is unchanged, every row comes back."""
+    monkeypatch.setattr(fingerprints, "HOT", 4)
+    monkeypatch.setattr(fingerprints, "REMEMBERED", 20)
+    rows = [(7, f"text {k % 50} of seven") for k in range(200)] + [(1000 + k, "the same text") for k in range(200)] + [(5000 + k, f"own {k}") for k in range(100)]
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert len(got) == 500 and len({r.fingerprint for r in got}) == 151
+    assert len({r.fingerprint for r in got if 1000 <= r.doc_id < 1200}) == 1
+    narrow = lambda data: bytes([hashlib.md5(data).digest()[0] & 15])
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), digest=narrow).collect()
+    assert len({r.fingerprint for r in got}) == 151

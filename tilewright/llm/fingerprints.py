@@ -16,11 +16,18 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, steps
 
 #: Ids of documents in groups are broadcast up to this number of rows, else joined.
 BROADCAST_ROWS = 2_000_000
+#: A digest with more than one in so many rows is looked up by broadcast (there are fewer than this of them), the others by a join.
+HOT = 1000
+#: Canonical bytes that a task remembers for comparison; beyond, it hands them on and begins anew.
+REMEMBERED = 16 << 20
+#: Characters of a text by which rows of one id are dealt to partitions.
+PREFIX = 64
 
 
 def canonical(text: str) -> bytes:
@@ -65,11 +72,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _stream(docs: DataFrame, digester: Digester) -> DataFrame:
-    """Rows in descending id order, each with the next; the first and last text of every partition are handed on as rows."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """Rows in descending id order, each with the next; the first and last text of every partition are handed on as rows.
+
+    Rows of one id may be many: they are dealt by the beginnings of their texts and, where these tie, by where they were read.
+    """
+    kind = docs.schema["id"].dataType
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("id").desc()).sortWithinPartitions(F.col("id").desc(), F.col("text").desc())
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("id", pa.int64() if kind == "bigint" else pa.string()), ("n_chars", pa.int64()), ("edited_sha", pa.binary()), ("digest", pa.binary()), ("edited_digest", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+    keyed = docs.withColumn("prefix", F.substring("text", 1, PREFIX)).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("id").desc(), F.col("prefix").desc()]
+    ordered = keyed.repartitionByRange(n, *order, "row").sortWithinPartitions(*order, F.col("text").desc()).select("id", "text")
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("id", to_arrow_type(kind)), ("n_chars", pa.int64()), ("edited_sha", pa.binary()), ("digest", pa.binary()), ("edited_digest", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+    kind = kind.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), None
@@ -104,23 +117,40 @@ def _stream(docs: DataFrame, digester: Digester) -> DataFrame:
     return found.where("kind = 'row'").unionByName(tails.mapInArrow(close, FIELDS.format(kind)))
 
 
+def _members(digests: DataFrame) -> DataFrame:
+    """Ids of the rows whose digest another row has as well. A digest that very many rows have never meets in one task."""
+    total = digests.count()
+    counted = durable(digests.groupBy("digest").count().where("count > 1"))
+    hot = F.broadcast(counted.where(F.col("count") * HOT > total).select("digest"))  # fewer than HOT rows
+    other = counted.where(F.col("count") * HOT <= total).select("digest")
+    return digests.join(hot, "digest", "left_semi").select("id").unionByName(digests.join(hot, "digest", "left_anti").join(other, "digest", "left_semi").select("id")).distinct()
+
+
 def _shared(docs: DataFrame, digests: DataFrame, digest: Callable[[bytes], bytes]) -> frozenset[bytes]:
     """Digests of groups in which the canonical bytes differ. Each task compares its own members and hands on one a digest."""
-    repeated = digests.groupBy("digest").count().where("count > 1").select("digest")
-    ids = durable(digests.join(repeated, "digest", "left_semi").select("id").distinct())
+    ids = durable(_members(digests))
     members = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
 
+    def rows(pairs: Iterable[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        pairs = list(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], ["digest", "data"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
+        known, size = {}, 0
         for batch in batches:
             for step in steps(batch, "text"):
-                out = []
                 for text in step.column(1).to_pylist():
                     data = canonical(text or "")
-                    if known.setdefault(d := digest(data), data) is not data and known[d] != data:
-                        out.append((d, data))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["digest", "data"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in (known.keys(), known.values())], ["digest", "data"])
+                    d = digest(data)
+                    if d not in known:
+                        known[d] = data
+                        size += len(data)
+                    elif known[d] != data:
+                        yield rows([(d, data)])
+                if size > REMEMBERED:
+                    yield rows(known.items())
+                    known, size = {}, 0
+        yield rows(known.items())
 
     differ = members.mapInArrow(run, "digest binary, data binary").groupBy("digest").agg(F.min("data").alias("a"), F.max("data").alias("b")).where("a <> b")
     return frozenset(bytes(r.digest) for r in differ.select("digest").toLocalIterator())
@@ -129,8 +159,9 @@ def _shared(docs: DataFrame, digests: DataFrame, digest: Callable[[bytes], bytes
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = wide) -> DataFrame:
     """Per row: id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts are empty. Rows follow each other by descending id, null ids last, rows of one id by descending text; after the
-    last comes the first. An exact digest is equal or not, so the likenesses are 1.0 or 0.0, decided on the canonical bytes. Equal
+    Null texts are empty. Rows follow each other by descending id, null ids last, rows of one id by descending beginnings of their
+    texts (PREFIX characters; rows that tie there in any order); after the last comes the first. Ids are of any type that has an
+    order. An empty table gives an empty table. An exact digest is equal or not, so the likenesses are 1.0 or 0.0, decided on the canonical bytes. Equal
     texts have equal fingerprints, and so have texts that differ in case, white space or compatibility forms only. The text is
     moved once, to range partitions that are read as streams; no partition is held whole.
     """
