@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tilewright.llm import leaks
 
 from .rows import documents, empty
@@ -91,3 +93,41 @@ def test_clean_takes_a_benchmark_of_many_blocks(spark):
     kept = leaks.clean(docs, bench, limit=300)
     want = [r for r in docs.collect() if not brute(r.text, items)[4]]
     assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, want)) and len(want) < docs.count()
+
+
+def test_a_stored_index_serves_several_benchmarks(spark, tmp_path):
+    docs, bench, items = tables(spark)
+    path = str(tmp_path / "index")
+    leaks.index_documents(docs.repartition(3)).write.parquet(path)
+    index = spark.read.parquet(path)
+    for k in (0, 1):
+        own = bench.where(f"item_id % 2 = {k}")
+        listed = [(i, t) for i, t in items if int(i) % 2 == k]
+        got = sorted((r.id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in leaks.search(index, own).collect() if r.id is not None)
+        assert got == sorted((r.doc_id, *brute(r.text, listed)) for r in docs.where("doc_id is not null").collect())
+
+
+def test_clashing_columns(spark):
+    docs, bench, _ = tables(spark)
+    more = bench.selectExpr("*", "1 AS name", "2 AS id", "3 AS shard", "4 AS items")
+    names = docs.selectExpr("*", "1 AS shard", "2 AS place", "3 AS spans", "4 AS n_hit", "5 AS _hit")
+    for limit in (leaks.BLOCK_CHARS, 900):
+        got = leaks.decontaminate(names, more, limit=limit)
+        assert got.columns[:6] == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] and got.count() == docs.count()
+        assert leaks.clean(names, more, limit=limit).columns == names.columns
+
+
+def test_index_round_trip():
+    texts = [b"", b"a b a", "É é c".encode(), b"x" * 9]
+    index = leaks.Index.of(texts)
+    again = leaks.Index.unpacked(*index.packed())
+    words = {}
+    for term, at in zip(again.terms, np.split(again.lists, np.cumsum(again.counts)[:-1])):
+        words |= {int(p): term for p in at}
+    place = 0
+    for text in texts:
+        for w in leaks.words_of(text):
+            assert words.pop(place) == w
+            place += 1
+        place += 1
+    assert not words

@@ -58,8 +58,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches only: the SQL fixes the columns, so the proximity matches of decontaminate() have no place here."""
-    return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=None).drop("items")
+    """The contract's columns tell of exact matches; n_near counts the items found by proximity, exact ones included."""
+    return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "near")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -87,14 +87,22 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS ke
 
 OP10_SQL = f"""
 WITH word AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS re),
-d AS (SELECT doc_id, regexp_extract_all({LOWERED}, re) AS ws FROM documents, word), i AS (SELECT item_id, regexp_extract_all({LOWERED}, re) AS ws FROM benchmark, word),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, re) AS ws FROM documents, word), i AS (SELECT item_id, regexp_extract_all({LOWERED}, re) AS ws FROM benchmark, word),
 iw AS (SELECT item_id, least(10, len(ws)) AS size, unnest(list_transform(range(1, greatest(2, len(ws) - 8)), lambda k: array_to_string(ws[k : k + 9], ' '))) AS g FROM i WHERE len(ws) > 0),
-dw AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS k, unnest(list_transform(range(1, len(ws) - size + 2), lambda k: array_to_string(ws[k : k + size - 1], ' '))) AS g FROM d, (SELECT DISTINCT size FROM iw)),
-hit AS (SELECT doc_id, item_id, k, size FROM dw JOIN iw USING (size, g)),
-pos AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY 1),
-own AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY 1)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)"""
+dw AS (SELECT r, size, unnest(range(1, len(ws) - size + 2)) AS k, unnest(list_transform(range(1, len(ws) - size + 2), lambda k: array_to_string(ws[k : k + size - 1], ' '))) AS g FROM d, (SELECT DISTINCT size FROM iw)),
+hit AS (SELECT r, item_id, k, size FROM dw JOIN iw USING (size, g)),
+pos AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS p FROM hit) GROUP BY 1),
+own AS (SELECT r, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY 1),
+tok AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d),
+df AS (SELECT w, count(*) AS n FROM tok GROUP BY 1),
+nw AS (SELECT DISTINCT item_id, list_sort(list_distinct(string_split(g, ' '))) AS terms FROM iw),
+rare AS (SELECT item_id, terms, arg_min(t, coalesce(n, 0)) AS w FROM (SELECT item_id, terms, unnest(terms) AS t FROM nw) LEFT JOIN df ON t = w GROUP BY 1, 2),
+cand AS (SELECT r, item_id, terms, ws[greatest(1, k - {leaks.SPAN - 1}) : k + {leaks.SPAN - 1}] AS around FROM tok JOIN rare USING (w) JOIN d USING (r)),
+near AS (SELECT r, count(DISTINCT item_id)::BIGINT AS n_near FROM cand WHERE list_has_all(around, terms)
+  AND len(list_filter(range(1, greatest(2, len(around) - {leaks.SPAN - 2})), lambda k: list_has_all(around[k : k + {leaks.SPAN - 1}], terms))) > 0 GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN pos USING (r) LEFT JOIN own USING (r) LEFT JOIN near USING (r)"""
 
 SQL: dict[str, str] = {
     "op5_near_duplicates": OP5_SQL,
