@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -55,3 +56,30 @@ def test_documents(spark):
     assert by[3].ids == by[4].ids == [1, 2] and by[3].decoded == ""
     assert by[6].ids == LIBRARY.encode(LONG, add_bos=True, add_eos=True) and by[6].decoded == LONG
     assert collected(pieces.encode_documents(empty(spark), piece_model()), "doc_id") == []
+
+
+def test_long_unbroken_words():
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (pieces.LONG - 1, pieces.LONG, pieces.LONG + 1, 30_000):
+        hard = ["".join(rng.choice(letters) for _ in range(n)), "".join(rng.choice("ab漢é\x00") for _ in range(n)), "a" * n, "the" * (n // 3) + " " + "=-" * n, "x " + " " * n + "ing" * n]
+        assert ids(hard) == LIBRARY.encode(hard, add_bos=True, add_eos=True, num_threads=1)
+
+
+def test_a_megabyte_without_a_space():
+    rng = random.Random(10)
+    text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
+    began = time.process_time()
+    got = ids([text])
+    assert time.process_time() - began < 30
+    assert got == LIBRARY.encode([text], add_bos=True, add_eos=True)
+
+
+def test_models_that_normalise_are_refused(tmp_path):
+    with open(piece_model(), "rb") as f:
+        model = f.read()
+    own = b"\x1a" + bytes([len(b"\x18\x01\x20\x01")]) + b"\x18\x01\x20\x01"  # a later normaliser that removes spaces
+    path = tmp_path / "other.model"
+    path.write_bytes(model + own)
+    with pytest.raises(ValueError):
+        pieces.Pieces(str(path))

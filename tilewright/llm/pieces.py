@@ -8,6 +8,9 @@ A merge of all occurrences at once equals the library's one-by-one order only if
 (or with) the merged one. Pieces for which the vocabulary has such an extension are found when the model is loaded; of them a
 round merges the leftmost occurrence only.
 
+A word of more than LONG symbols would need rounds over its whole length for nearly every rank. Its merges are taken from a heap
+instead, by rank, then from the left: the library's own order, in a time that grows with its length only.
+
 Pieces of spaces alone all have one, the worst, score: they merge last and from the left, so a run of spaces is cut into
 longest pieces from the left; this is done in closed form.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,8 @@ SPACE = "▁"
 BYTE, CONTROL, UNKNOWN, NORMAL = 6, 3, 2, 1
 #: Distinct words whose ids a task remembers; beyond it the memory is emptied and filled again.
 REMEMBERED = 400_000
+#: Symbols of a word above which its merges come from a heap.
+LONG = 4096
 
 
 def _fields(data: bytes):
@@ -66,6 +72,12 @@ class Pieces:
         with open(path, "rb") as f:
             model = f.read()
         self.text, score, self.kind = [], [], []
+        rules = {number: dict(_fields(value)) for number, value in _fields(model) if number in (2, 3)}
+        trainer, normaliser = rules.get(2, {}), rules.get(3, {})
+        if trainer.get(3, 1) != 2 or not trainer.get(35, 0) or trainer.get(24, 0):
+            raise ValueError("not a BPE model with byte fallback and spaces in front")
+        if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+            raise ValueError("the model normalises texts")
         for number, value in _fields(model):
             if number == 1:
                 got = dict(_fields(value))
@@ -104,6 +116,10 @@ class Pieces:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of words that hold a SPACE in front at most."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if long:
+            rest = iter(self.merge([w for w in words if len(w) <= LONG]))
+            return [self._merge_long(w) if len(w) > LONG else next(rest) for w in words]
         n = len(words)
         if not n:
             return []
@@ -151,6 +167,41 @@ class Pieces:
         flat = sym.astype("<u4").tobytes()
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
+    @property
+    def pairs(self) -> dict[int, int]:
+        """The piece that a pair of pieces makes; made when the first long word comes."""
+        if not hasattr(self, "_made"):
+            self._made = dict(zip(self.keys.tolist(), self.made.tolist()))
+        return self._made
+
+    def _merge_long(self, word: str) -> bytes:
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        kinds, where = np.unique(points, return_inverse=True)
+        start = np.array([self.char.get(chr(c), self.n + c) for c in kinds], np.int64)[where]
+        _, rank = self._pairs(start, np.zeros(start.size, np.int64), np.arange(start.size))
+        at = np.flatnonzero(rank < 1 << 40)
+        heap = np.sort(rank[at] << 32 | at).tolist()  # sorted, so it is a heap
+        sym, after, before = start.tolist(), [*range(1, start.size), -1], [*range(-1, start.size - 1)]
+        made_of, ranks, place = self.pairs, self.rank.tolist(), (1 << 32) - 1
+        while heap:
+            top = heappop(heap)
+            left = top & place
+            right = after[left]
+            if sym[left] < 0 or right < 0:
+                continue
+            made = made_of.get(sym[left] << 32 | sym[right])
+            if made is None or ranks[made] != top >> 32:
+                continue  # one of the two has been merged since
+            sym[left], sym[right] = made, -1
+            after[left] = then = after[right]
+            if then >= 0:
+                before[then] = left
+            for a, b in ((before[left], left), (left, then)):
+                if a >= 0 and b >= 0 and (new := made_of.get(sym[a] << 32 | sym[b])) is not None:
+                    heappush(heap, ranks[new] << 32 | a)
+        out = [i for s in sym if s >= 0 for i in ((s,) if s < self.n else self._bytes(s - self.n))]
+        return np.array(out, "<u4").tobytes()
+
     def _pairs(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece and the rank of the pairs that begin at these places."""
         right = np.minimum(at + 1, sym.size - 1)
@@ -275,7 +326,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """Per row: id, n_tokens, ids_sha256 (little-endian unsigned 32-bit ids), decoded_sha256; with_ids adds the ids and the decoded text.
 
     A null text counts as empty (begin and end ids only); repeated rows give repeated results; a null id stays null.
-    model_path is read by every executor. There is no shuffle; a task holds a few MB of text at a time.
+    model_path is read by every executor. There is no shuffle; a task holds a few MB of text at a time, or one longer text with
+    some 150 bytes for each symbol of an unbroken word.
     """
 
     def make():
