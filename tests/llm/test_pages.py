@@ -1,7 +1,10 @@
 import random
+import time
 
 from tilewright.llm import pages
 
+from . import page_set
+
 STORY = "This is the first long paragraph of the story, with enough words to be read as prose by anyone who cares."
 MORE = "A second paragraph follows here &amp; it also has quite a few words, some <b>bold</b> ones and <i>others</i> too."
 WANT = STORY + " A second paragraph follows here & it also has quite a few words, some bold ones and others too."
@@ -61,3 +64,42 @@ def test_rows(spark):
     assert len(got) == 5 and {r.text for r in got if r.page_id == 1} == {STORY}
     assert all(r.n_chars == len(r.text) for r in got) and {r.text for r in got if r.page_id in (2, None)} == {""}
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_cut_is_right_where_the_threshold_is_not():
+    """On 120 made pages the cut has the text of all of them; each block's own costs alone have it for 40."""
+    found = [(html, text, pages.main_text(html), pages.main_text(html, smooth=False)) for _, html, text in page_set.pages()]
+    assert len(found) == 120 and all(cut == text for _, text, cut, _ in found)
+    assert sum(alone != cut for *_, cut, alone in found) == 80 and sum(alone == text for _, text, _, alone in found) == 40
+
+
+def test_no_name_empties_a_page():
+    assert pages.main_text(f'<article class="post social"><p>{STORY}</p></article>') == STORY
+    assert pages.main_text(f'<div class="post-comment-guide"><p>{STORY}</p></div>') == STORY
+    assert pages.main_text(f'<div id="main-header-image"><h1>The title</h1></div><div><p>{STORY}</p></div>') == "The title " + STORY
+    assert pages.main_text(f'<div class="side"><p>{STORY}</p></div>') == STORY
+    for name in sorted(pages.BOILER | pages.DOUBTFUL):
+        assert pages.main_text(f'<nav><a href=1>Menu</a></nav><article class="{name}"><h1>Title</h1><p>{STORY}</p><p>No</p></article>') in (f"Title {STORY} No", "" if name in pages.REMARKS else None), name
+
+
+def test_reader_comments_go():
+    assert pages.main_text(f'<article><p>{STORY}</p></article><div class="comments"><article class="comment"><p>{STORY}</p></article></div>') == STORY
+    assert pages.main_text(f'<article><p>{STORY}</p><section id="comments"><article><p>{STORY}</p></article></section></article>') == STORY
+    assert pages.main_text(f'<div class="header-wrapper"><main><p>{STORY}</p></main></div><div class="banner"><p>{STORY}</p></div>') == STORY
+
+
+def test_what_stands_in_a_line_does_not_split_it():
+    for odd in ("<img src=x>", "<input>", "<picture><source><img></picture>", "<button>Go</button>", "<svg><title>t</title></svg>", "<script>x</script>", "<!-- c -->"):
+        assert pages.main_text(f"<article><p>{STORY} foo{odd}bar</p></article>") == f"{STORY} foobar"
+
+
+def test_deep_pages_take_time_by_their_length():
+    for deep in ("<b>x" * 20_000, "<div>x" * 20_000 + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000):
+        began = time.process_time()
+        pages.main_text(deep)
+        assert time.process_time() - began < 10
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([("a", "u", f"<article><p>{STORY}</p></article>")], "page_id string, url string, html string").selectExpr("*", "1 AS id", "2 AS text", "3 AS parent")
+    assert [tuple(r) for r in pages.extract(rows).collect()] == [("a", "u", STORY, len(STORY))]
