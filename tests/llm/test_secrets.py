@@ -80,3 +80,18 @@ def test_many_open_markers_take_little_time():
     text = b"-----BEGIN PRIVATE KEY----- a-b " * 20_000
     began = time.time()
     assert len(SCANNER.spans([text])[0]) == 20_000 and time.time() - began < 10
+
+
+def test_unbroken_texts_take_time_by_their_length():
+    for text in (b"eyJ" * 300_000 + b".eyJ", b"0a1b2c3d" * 100_000, b"token=" * 150_000, b"password:" + b"'" * 500_000, b"eyJa.eyJ" * 100_000):
+        began = time.process_time()
+        found = SCANNER.spans([text])
+        assert time.process_time() - began < 20
+        assert found or text.startswith((b"eyJ", b"password"))
+
+
+def test_clashing_columns_and_ids(spark):
+    rows = spark.createDataFrame([("a", "token: abcdefgh")], "name string, text string").selectExpr("*", "1 AS id", "2 AS spans", "3 AS kind")
+    got = secrets.digest_columns(secrets.scan(rows, "name"), "name").first()
+    assert (got.name, got.n_assign, got.spans) == ("a", 1, "assign:0:15")
+    assert secrets.redact(rows).columns == rows.columns

@@ -5,9 +5,10 @@ them into one deterministic automaton that may begin a match at any byte, partit
 is a transition array over byte classes. One pass over the bytes of a batch finds where any rule ends a match. The pass is
 vectorised: the batch is cut into lanes at bytes that lead every state to the start state, and all lanes step together.
 
-No match can hold such a reset byte, so the stretch between two of them that holds an end is matched again with the
-rule's own expression to get its leftmost non-overlapping spans. Only private keys go over many lines: where a BEGIN marker is
-found, their expression is matched in the whole text.
+No match can hold such a reset byte. In the stretch between two of them that holds an end, two automata of that rule alone give
+the leftmost non-overlapping spans: one of the reversed expression runs backwards and marks where matches begin, one of the
+expression itself runs on from the first such place to the longest match, and so on behind it. Only private keys go over many
+lines and can't be written as an automaton: where a BEGIN marker is found, an expression is matched in the whole text.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ class Rule(NamedTuple):
     kind: str
     #: For the automaton: every match that is kept holds one of these.
     found: str
-    #: For the spans: bytes expression, leftmost non-overlapping matches.
+    #: For the spans: leftmost longest matches, which don't overlap.
     exact: str
-    #: Group of `exact` that must have `least` bytes; shorter matches are dropped.
+    #: Group of `exact` that must have `least` bytes; shorter matches are dropped. What comes before the group is `head`.
     group: int = 0
     least: int = 0
     ignore_case: bool = False
     #: Whether a match may cross reset bytes; `exact` then looks at the whole text.
     whole: bool = False
+    head: str = ""
 
 
 WORD, URL = "[A-Za-z0-9]", "[A-Za-z0-9_-]"
@@ -42,7 +44,7 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: The automaton counts only what is common in ordinary text (hex runs); other lengths are left to `exact`, since every
 #: counter multiplies the states.
 BASE = (
-    Rule("assign", ASSIGN + "[A-Za-z0-9+/_.=-]", ASSIGN + "([A-Za-z0-9+/_.=-]+)", 2, 6, True),
+    Rule("assign", ASSIGN + "[A-Za-z0-9+/_.=-]", ASSIGN + "([A-Za-z0-9+/_.=-]+)", 2, 6, True, head=ASSIGN),
     Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]{24}", "[0-9a-f]+", 0, 24),
 )
@@ -81,11 +83,11 @@ class _Parser:
         self.at += 1
         return self.text[self.at - 1]
 
-    def parse(self) -> tuple[int, int]:
+    def parse(self, backwards: bool = False) -> tuple[int, int]:
         tree = self.either()
         if self.at != len(self.text):
             raise ValueError(f"can't read {self.text!r} at {self.at}")
-        return self.build(tree)
+        return self.build(_reversed(tree) if backwards else tree)
 
     def either(self):
         parts = [self.sequence()]
@@ -185,6 +187,16 @@ class _Parser:
         return a, end
 
 
+def _reversed(tree):
+    kind = tree[0]
+    if kind == "bytes":
+        return tree
+    if kind == "repeat":
+        return ("repeat", _reversed(tree[1]), *tree[2:])
+    parts = [_reversed(x) for x in tree[1]]
+    return (kind, parts[::-1] if kind == "sequence" else parts)
+
+
 class Automaton(NamedTuple):
     step: np.ndarray  # state * classes + class of byte -> state * classes
     classes: np.ndarray  # byte -> class
@@ -193,11 +205,16 @@ class Automaton(NamedTuple):
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
+    return compiled([(r.found, r.ignore_case) for r in rules])
+
+
+def compiled(expressions: list[tuple[str, bool]], anywhere: bool = True, backwards: bool = False) -> Automaton:
+    """One automaton of (expression, ignore case); anywhere: a match may begin at any byte; backwards: of what they match, reversed."""
     edges: list[list[tuple[frozenset[int] | None, int]]] = [[]]
     ends: dict[int, int] = {}
-    for k, r in enumerate(rules):
-        p = _Parser(r.found, r.ignore_case)
-        a, b = p.parse()
+    for k, (text, ignore_case) in enumerate(expressions):
+        p = _Parser(text, ignore_case)
+        a, b = p.parse(backwards)
         base = len(edges)
         edges += [[(on, to + base) for on, to in row] for row in p.edges]
         edges[0].append((None, a + base))
@@ -222,7 +239,7 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
     while len(rows) < len(todo):
         here, row = todo[len(rows)], []
         for b in sample:
-            to = closed({0} | {t for s in here for on, t in edges[s] if on is not None and b in on})
+            to = closed(({0} if anywhere else set()) | {t for s in here for on, t in edges[s] if on is not None and b in on})
             if to not in found:
                 found[to] = len(found)
                 todo.append(to)
@@ -251,6 +268,60 @@ def automaton(rules: tuple[Rule, ...]) -> Automaton:
     return compile_rules(rules)
 
 
+class _Steps:
+    """An automaton as lists, for short stretches: next state by state and byte, or -1 where nothing can match any more."""
+
+    def __init__(self, text: str, ignore_case: bool, **how: bool):
+        auto = compiled([(text, ignore_case)], **how)
+        width = int(auto.classes.max()) + 1
+        rows = auto.step.reshape(-1, width)[:, auto.classes] // width
+        self.accepts = (auto.accepts > 0).tolist()
+        dead = [k for k, row in enumerate(rows) if not self.accepts[k] and (row == k).all()]
+        self.rows = [[-1 if to in dead else to for to in row] for row in rows.tolist()]
+
+    def begins(self, data: bytes, low: int, high: int) -> list[int]:
+        """Places, descending, at which this automaton, run backwards from high, accepts."""
+        out, state, rows, accepts = [], 0, self.rows, self.accepts
+        for at in range(high - 1, low - 1, -1):
+            state = rows[state][data[at]]
+            if accepts[state]:
+                out.append(at)
+        return out
+
+    def longest(self, data: bytes, at: int, high: int) -> int:
+        """Where the longest match that begins at `at` ends; -1 without any."""
+        last, state, rows, accepts = -1, 0, self.rows, self.accepts
+        while at < high and (state := rows[state][data[at]]) >= 0:
+            at += 1
+            if accepts[state]:
+                last = at
+        return last
+
+
+class _Spans:
+    """The spans of one rule in a stretch that no match crosses."""
+
+    def __init__(self, rule: Rule):
+        self.least = rule.least
+        self.back = _Steps(rule.exact, rule.ignore_case, anywhere=True, backwards=True)
+        self.on = _Steps(rule.exact, rule.ignore_case, anywhere=False)
+        self.head = _Steps(rule.head, rule.ignore_case, anywhere=False) if rule.head else None
+
+    def __call__(self, data: bytes, low: int, high: int) -> list[tuple[int, int]]:
+        out, at = [], low
+        for begin in reversed(self.back.begins(data, low, high)):
+            if begin >= at:
+                at = self.on.longest(data, begin, high)
+                if at - (self.head.longest(data, begin, at) if self.head else begin) >= self.least:
+                    out.append((begin, at))
+        return out
+
+
+@lru_cache(maxsize=64)
+def spans_of(rule: Rule) -> _Spans:
+    return _Spans(rule)
+
+
 LANES = 2048
 
 
@@ -289,7 +360,7 @@ def ends_of(data: np.ndarray, auto: Automaton) -> tuple[np.ndarray, np.ndarray]:
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = BASE + ADDED):
         self.rules, self.auto = rules, automaton(rules)
-        self.exact = [re.compile(r.exact.encode(), re.IGNORECASE * r.ignore_case) for r in rules]
+        self.exact = [re.compile(r.exact.encode(), re.IGNORECASE * r.ignore_case) if r.whole else spans_of(r) for r in rules]
         if not self.auto.resets[0]:
             raise ValueError("a rule may match a NUL byte")
 
@@ -312,11 +383,14 @@ class Scanner:
             doc = int(np.searchsorted(limits, low, "right"))
             base = int(limits[doc - 1]) if doc else 0
             for k, rule in enumerate(self.rules):
-                if b >> k & 1 and (doc, k) not in done:
-                    if rule.whole:
-                        done.add((doc, k))
-                    a, z = (base, int(limits[doc]) - 1) if rule.whole else (low, high)
-                    out.setdefault(doc, []).extend((m.start() - base, k, m.end() - base) for m in self.exact[k].finditer(joined, a, z) if m.end(rule.group) - m.start(rule.group) >= rule.least)
+                if not b >> k & 1 or (doc, k) in done:
+                    continue
+                if rule.whole:
+                    done.add((doc, k))
+                    found = [m.span() for m in self.exact[k].finditer(joined, base, int(limits[doc]) - 1)]
+                else:
+                    found = self.exact[k](joined, low, high)
+                out.setdefault(doc, []).extend((a - base, k, z - base) for a, z in found)
         return {d: sorted(x) for d, x in out.items() if x}
 
 
@@ -390,7 +464,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     return map_steps(docs, text_col, make, schema)
 
 
-def digest_columns(found: DataFrame) -> DataFrame:
+def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """op8's columns from scan()'s: counts of the base kinds, digest of their spans, and all spans as text."""
     from pyspark.sql import functions as F
 
@@ -398,4 +472,4 @@ def digest_columns(found: DataFrame) -> DataFrame:
     item = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     own = F.filter("spans", lambda x: x["kind"].isin(*base))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("bigint")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in base], F.sha2(F.array_join(F.transform(own, item), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", item), ",").alias("spans"))
+    return found.select(id_col, *[count(k).alias(f"n_{k}") for k in base], F.sha2(F.array_join(F.transform(own, item), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", item), ",").alias("spans"))
