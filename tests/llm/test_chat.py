@@ -55,3 +55,37 @@ def test_layouts(spark):
     assert [got[k] for k in (1, 2, 4, 5, 6)] == [plain] * 5
     assert got[3] == [("user", "q\n\nmore"), ("assistant", "a")] and got[8] == [("system", "s"), *plain]
     assert got[7] is None and got[99] is None
+
+
+def test_further_fields_and_empty_lists(spark):
+    said = {"role": "user", "content": "q"}
+    records = [
+        {"messages": []},
+        {"messages": [{**said, "name": "n"}, {"role": "assistant", "content": "a", "meta": {"x": [1, {"y": 2}]}}], "id": 7},
+        {"id": 1, "prompt": "q", "response": "a", "tags": ["t"], "score": 0.5},
+        {"messages": [said, {"role": "assistant", "tool": "t"}]},
+        {"messages": "none", "prompt": "q", "completion": "a"},
+        {"id": 3},
+        [],
+        "text",
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r), 1, 2) for k, r in enumerate(records)], "k int, j string, turns int, _layout int").withColumn("record", F.parse_json("j"))
+    rows = chat.canonical_turns(df)
+    assert set(rows.columns) == {"k", "j", "turns", "_layout", "record"}
+    got = {r.k: None if r.turns is None else [(t.role, t.text) for t in r.turns] for r in rows.collect()}
+    plain = [("user", "q"), ("assistant", "a")]
+    assert got == {0: [], 1: plain, 2: plain, 3: [("user", "q"), ("assistant", "")], 4: plain, 5: None, 6: None, 7: None}
+
+
+def test_conversations_without_a_mapping_stay(spark):
+    own = spark.createDataFrame([(1, 0, '{"id": 3}'), (2, 0, '{"messages": []}'), (3, 0, '{"id": 1}'), (3, 1, '{"role": "user", "text": "q"}'), (None, 0, None)], "conv_id bigint, turn bigint, j string")
+    got = {r.conv_id: (r.n_turns, r.formatted_chars) for r in chat.op2_columns(own.select("conv_id", "turn", F.parse_json("j").alias("record"))).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 12 + 4 + 1 + 1 + 11), None: (0, 0)}
+
+
+def test_clashing_columns_and_a_very_long_conversation(spark):
+    df = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text <|im_end|> ', id) AS text", "1 AS k", "2 AS p", "3 AS ps", "4 AS t", "5 AS record", "6 AS turns")
+    got = {r.conv_id: r for r in chat.op2_columns(chat.op2_source(df)).collect()}
+    want = "".join(f"{'user' if k % 2 == 0 else 'assistant'}\ntext <|im_end|> {k}\n" for k in range(20_000))
+    assert got[1].n_turns == 20_000 and got[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert got[1].loss_sha256 == hashlib.sha256("".join(f"text <|im_end|> {k}" for k in range(1, 20_000, 2)).encode()).hexdigest()

@@ -1,7 +1,8 @@
 """Chat formatting driven by schema fingerprints, in DataFrame functions only.
 
-A record is a VARIANT. Its fingerprint is a hash of its nested field paths (the types of leaves don't count); the fingerprint
-selects a declarative mapping that says where roles and texts are. Mapped records become canonical turns, turns become text
+A record is a VARIANT. Its fingerprint is the set of hashes of its nested field paths (the types of leaves don't count). A
+declarative mapping says where roles and texts are; it has the fingerprint of an example. A record takes the mapping with the most
+paths of those whose paths it all has, so further fields don't matter. Mapped records become canonical turns, turns become text
 between control strings, and a loss mask says which characters are an assistant's.
 
 Inside texts and roles a control string can't stand: every `<`, backslashes, `|` gets one backslash more, and a newline in a
@@ -10,6 +11,7 @@ role is written as a control string of its own. Reading back takes them away aga
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,7 @@ ASSISTANT = "assistant"
 class Mapping(NamedTuple):
     """Either `turns` is the path of an array with `role` and `text` inside, or `fixed` lists (role, text path) pairs.
 
-    renames: roles of the layout that have another name here. optional: text paths whose turn is left out where it is null or empty;
+    example: a record of the layout, whose field paths a record must have. renames: roles of the layout that have another name here.
     joined: text path appended to the first turn after a blank line where it isn't empty.
     """
 
@@ -47,12 +49,26 @@ MAPPINGS = (
     Mapping('{"system": "", "prompt": "", "response": ""}', fixed=(("system", "$.system"), ("user", "$.prompt"), (ASSISTANT, "$.response"))),
 )
 TURNS = "array<struct<role:string,text:string>>"
-LEAF = r"\b(STRING|VOID|BOOLEAN|TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+, ?\d+\)|DATE|TIMESTAMP(_NTZ)?|BINARY|UUID)(?=[,>]|$)"
+#: Levels of objects and arrays whose field paths count.
+DEPTH = 4
+
+
+def _paths(value: Column, prefix: Column, depth: int) -> Column:
+    """Field paths inside a VARIANT below a prefix; an array adds `[]`, an empty one `[0]`."""
+    none = F.array().cast("array<string>")
+    if not depth:
+        return none
+    fields = F.map_entries(_get(value, "$", "map<string,variant>"))
+    name = lambda e: F.concat(prefix, F.lit("."), e["key"])
+    inside = F.flatten(F.transform(fields, lambda e: F.concat(F.array(name(e)), _paths(e["value"], name(e), depth - 1))))
+    items = _get(value, "$", "array<variant>")
+    listed = F.when(F.size(items) == 0, F.array(F.concat(prefix, F.lit("[0]")))).otherwise(F.array_distinct(F.flatten(F.transform(items, lambda x: _paths(x, F.concat(prefix, F.lit("[]")), depth - 1)))))
+    return F.when(value.isNull(), none).otherwise(F.coalesce(inside, listed, none))
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a VARIANT; names come in sorted order from the schema."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), LEAF, "*"))
+    """Hashes of the nested field paths of a VARIANT, each once; empty for a null record."""
+    return F.transform(F.array_distinct(_paths(record, F.lit("$"), DEPTH)), lambda p: F.xxhash64(p))
 
 
 def _get(record: Column, path: str, kind: str = "string") -> Column:
@@ -81,14 +97,27 @@ def _renamed(role: Column, m: Mapping) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """records with a column `turns`; null where no mapping fits the layout (or the record is null)."""
+    """records with a column `turns`; null where no mapping fits the layout (or the record is null).
+
+    Fields that a mapping doesn't name are left aside, whatever they hold. An empty list of turns fits its mapping and gives no
+    turns. Where mappings have equally many paths, the one that is listed first counts. All other columns stay, but for one that is
+    already called `turns`, which is replaced.
+    """
     record = F.col(record_col)
-    known = records.sparkSession.createDataFrame([(m.example,) for m in mappings], "example string")
-    prints = [r.p for r in known.select(fingerprint(F.parse_json("example")).alias("p"), F.monotonically_increasing_id().alias("k")).orderBy("k").collect()]
+    examples = [m.example for m in mappings] + [re.sub(r"\[.*\]", "[]", m.example) for m in mappings]
+    known = records.sparkSession.createDataFrame(list(enumerate(examples)), "k int, example string")
+    prints = [list(r.p) for r in known.select("k", fingerprint(F.parse_json("example")).alias("p")).orderBy("k").collect()]
+    prints = [[prints[k]] + [prints[k + len(mappings)]] * bool(m.turns) for k, m in enumerate(mappings)]
+    own = f"_layout{len(records.columns)}_{'_'.join(records.columns)}"  # no column's name
+    has = lambda p: F.size(F.array_except(F.array(*[F.lit(x) for x in p]).cast("array<bigint>"), F.col(own))) == 0
     chosen = F.lit(None).cast(TURNS)
-    for p, m in reversed(list(zip(prints, mappings))):
-        chosen = F.when(F.col("_layout") == p, _turns(record, m)).otherwise(chosen)
-    return records.withColumn("_layout", fingerprint(record)).withColumn("turns", chosen).drop("_layout")
+    for p, m in sorted(zip(prints, mappings), key=lambda x: len(x[0][0]), reverse=True)[::-1]:
+        fits = has(p[0])
+        for other in p[1:]:
+            fits = fits | has(other)
+        chosen = F.when(fits, _turns(record, m)).otherwise(chosen)
+    # a tie goes to the mapping listed first: the sort is stable, and later branches of the loop stand before earlier ones
+    return records.withColumn(own, fingerprint(record)).withColumn("turns", F.when(record.isNull(), F.lit(None).cast(TURNS)).otherwise(chosen)).drop(own)
 
 
 def escape(text: Column) -> Column:
@@ -99,17 +128,18 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
 
 
-def format_turns(turns: DataFrame, key: str, order: list[str]) -> DataFrame:
+def format_turns(turns: DataFrame, key: str, order: list[str], present: Column | None = None) -> DataFrame:
     """One row a key: formatted, and loss_mask as runs (characters, whether they count), which cover it without a gap.
 
-    turns has key, role, text and the order columns; a null role or text is empty. Rows that tie in the order columns are ordered
+    turns has key, role, text and the order columns; a null role or text is empty. Rows for which `present` is false are no turns; a
+    key with only such rows has an empty text. Rows that tie in the order columns are ordered
     by role and text. Escaping happens before the shuffle; a conversation's text is one row of the result.
     """
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(LINE))
     head = F.concat(F.lit(BEGIN), role, F.lit("\n"))
     body = escape(F.coalesce("text", F.lit("")))
     piece = F.struct(*[F.col(c) for c in order], F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("raw"), head.alias("head"), body.alias("body"))
-    slim = turns.select(key, piece.alias("p"))
+    slim = turns.select(key, (piece if present is None else F.when(present, piece)).alias("p"))
     got = slim.groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("ps"))
     run = lambda n, loss: F.struct(n.alias("chars"), loss.alias("loss"))
     runs = F.flatten(F.transform("ps", lambda p: F.array(run(F.length(p["head"]), F.lit(False)), run(F.length(p["body"]), p["role"] == ASSISTANT), run(F.lit(len(END)), F.lit(False)))))
@@ -134,7 +164,10 @@ def read_back(formatted: DataFrame, key: str) -> DataFrame:
 
 
 def op2_source(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, record): the table's rows as records of one turn, and conversation -1 as a record of messages."""
+    """(conv_id, turn, record): the table's rows as records of one turn, and conversation -1 as a record of messages.
+
+    Other columns are left aside. An empty table gives conversation -1 alone.
+    """
     own = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.to_variant_object(F.struct("role", "text")).alias("record"))
     said = "<|im_end|><|im_start|>assistant ok"
     message = '{"messages": [{"role": "user", "content": "%s"}, {"role": "assistant", "content": "%s"}]}' % (said, said)
@@ -143,8 +176,13 @@ def op2_source(conversations: DataFrame) -> DataFrame:
 
 
 def op2_columns(source: DataFrame) -> DataFrame:
-    turns = canonical_turns(source).select("conv_id", "turn", F.posexplode("turns").alias("k", "t")).select("conv_id", "turn", "k", "t.role", "t.text")
-    back = read_back(format_turns(turns, "conv_id", ["turn", "k"]), "conv_id")
+    """op2's columns, read back from the formatted texts, one row a conv_id (null is one as well).
+
+    Null roles and texts are empty; turns that tie in their number are ordered by role and text, repeated rows are turns of
+    their own. A record that no mapping fits has no turns, but its conversation is there, with n_turns 0 if it has no other.
+    """
+    turns = canonical_turns(source).select("conv_id", "turn", F.posexplode_outer("turns").alias("k", "t")).select("conv_id", "turn", "k", "t.role", "t.text")
+    back = read_back(format_turns(turns, "conv_id", ["turn", "k"], F.col("k").isNotNull()), "conv_id")
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     return back.select(
         "conv_id",
