@@ -37,3 +37,12 @@ def test_empty_and_native(spark):
     assert licenses.digest_columns(licenses.scan(empty(spark))).count() == 0
     plan = licenses.scan(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan.split("== Physical Plan ==")[1])
+
+
+def test_any_number_of_templates(spark):
+    df = spark.createDataFrame([(1, "a b c a b"), (2, "x"), (3, None)], "doc_id bigint, text string").selectExpr("*", "1 AS x", "2 AS w", "3 AS found")
+    one = (licenses.Template("ab", "a b", True),)
+    many = tuple(licenses.Template(f"t{k}", f"a b w{k}") for k in range(300)) + one + (licenses.Template("single", "c"),)
+    for templates, want in ((one, [("ab", 0), ("ab", 3)]), (many, [("ab", 0), ("ab", 3), ("single", 2)]), ((), [])):
+        got = {r.doc_id: sorted((m.label, m.start) for m in r.matches) for r in licenses.scan(df, templates).collect()}
+        assert got == {1: want, 2: [], 3: []}

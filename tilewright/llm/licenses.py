@@ -1,9 +1,11 @@
 """Licence scans over a positional index of rare licence words, in DataFrame functions only.
 
 Each licence template is a sequence of words. A pass over the corpus counts in how many documents each template word occurs;
-a template is indexed by the positions of its rarest (highest-IDF) words. A file's rare words are looked up there: the
-positions at which they occur, less their position in the template, are intersected, and at what remains the whole mandatory
-phrase is verified. Every occurrence of a phrase holds its rare words at their offsets, so none is missed, whatever the counts.
+the postings say, for each word that is among the rarest (highest-IDF) ones of a template, in which templates it stands and
+where. A file's own such words are looked up there, each with its places in the file; the places, less the posting's, are
+intersected between the words of a template, and at what remains the whole mandatory phrase is verified. Every occurrence of
+a phrase holds its rare words at their offsets, so none is missed, whatever the counts. The postings are one constant of the
+plan, which doesn't get longer with the number of templates.
 """
 
 from __future__ import annotations
@@ -83,48 +85,58 @@ def rarest(template: Template, counts: dict[str, int]) -> list[tuple[str, int]]:
     return [(w, first[w]) for w in sorted(first, key=lambda w: (counts[w], w))[:RARE]]
 
 
-def _strings(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
-def _offsets(hits: Column, word: str, at: int) -> Column:
-    """Where a template would begin that has the word at place `at`."""
-    return F.transform(F.filter(hits, lambda x: x["w"] == word), lambda x: x["k"] - at)
-
-
 def _let(value: Column, then) -> Column:
     """then(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def postings(templates: tuple[Template, ...], counts: dict[str, int]) -> dict[str, list[tuple[int, int, int, int]]]:
+    """By word: (template, position in it, which of its rare words this is, how many it has)."""
+    out: dict[str, list[tuple[int, int, int, int]]] = {}
+    for k, t in enumerate(templates):
+        rare = rarest(t, counts)
+        for r, (w, at) in enumerate(rare):
+            out.setdefault(w, []).append((k, at, r, len(rare)))
+    return out
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, counts: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, matches array<struct<label,base,start>> (every place of every phrase), best (share of rare words).
 
-    Null and empty texts have no words. Overlapping places all count; repeated rows repeat. No shuffle beyond the counts.
+    Null and empty texts have no words. Overlapping places all count; repeated rows repeat; other columns are left aside. Without
+    templates nothing is found. No shuffle beyond the counts.
     """
     counts = document_counts(docs, templates, text_col) if counts is None else counts
-    index = [(t, rarest(t, counts)) for t in templates]
-    keys = sorted({rare[0][0] for _, rare in index})
-    words = sorted({w for _, rare in index for w, _ in rare})
+    index = postings(templates, counts)
+    keys = sorted({w for w, own in index.items() if any(r == 0 for _, _, r, _ in own)})
+    entry = lambda p: F.struct(*[F.lit(x).alias(n) for n, x in zip(("t", "at", "r", "n"), p)])
+    looked = F.create_map(*[x for w, own in index.items() for x in (F.lit(w), F.array(*map(entry, own)))]) if index else None
+    phrases, labels, bases = (F.array(*x) for x in ([F.array(*map(F.lit, t.words)) for t in templates], [F.lit(t.label) for t in templates], [F.lit(t.base) for t in templates]))
+    none = F.struct(F.array().cast("array<struct<label:string,base:boolean,start:bigint>>").alias("matches"), F.lit(0.0).alias("best"))
 
     def found(t: Column) -> Column:
-        hits = F.filter(F.transform(t, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(words))
-
-        def all_of(h: Column) -> Column:
-            def places(template: Template, rare: list[tuple[str, int]]) -> Column:
-                lists = [_offsets(h, w, at) for w, at in rare]
-                starts = lists[0]
-                for other in lists[1:]:
-                    starts = F.array_intersect(starts, other)
-                n = len(template.words)
-                whole = F.filter(starts, lambda s: (s >= 0) & (F.slice(t, F.greatest(s + 1, F.lit(1)), n) == _strings(template.words)))
-                return F.transform(whole, lambda s: F.struct(F.lit(template.label).alias("label"), F.lit(template.base).alias("base"), s.cast("bigint").alias("start")))
-
-            share = [F.size(F.array_intersect(F.transform(h, lambda x: x["w"]), _strings([w for w, _ in rare]))) / F.lit(float(len(rare))) for _, rare in index]
-            return F.struct(F.concat(*[places(*x) for x in index]).alias("matches"), F.greatest(*share).alias("best"))
-
-        none = F.struct(F.array().cast("array<struct<label:string,base:boolean,start:bigint>>").alias("matches"), F.lit(0.0).alias("best"))
-        return F.struct(F.size(t).cast("bigint").alias("n_words"), F.when(F.exists(t, lambda w: w.isin(keys)), _let(hits, all_of)).otherwise(none).alias("found"))
+        n_words = F.size(t).cast("bigint").alias("n_words")
+        if not index:
+            return F.struct(n_words, none.alias("found"))
+        hits = F.filter(F.transform(t, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(*index))
+        posted = F.flatten(F.transform(hits, lambda x: F.transform(F.try_element_at(looked, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["k"] - p["at"]).alias("start"), p["r"].alias("r"), p["n"].alias("n")))))
+
+        def placed(ps: Column) -> Column:
+            of = lambda r, n: F.transform(F.filter(ps, lambda p: (p["r"] == r) & n(p["n"])), lambda p: F.struct(p["t"].alias("t"), p["start"].alias("start")))
+            starts = of(0, lambda n: n == 1)
+            for n in range(2, RARE + 1):
+                both = of(0, lambda x, n=n: x == n)
+                for r in range(1, n):
+                    both = F.array_intersect(both, of(r, lambda x, n=n: x == n))
+                starts = F.concat(starts, both)
+            phrase = lambda s: F.element_at(phrases, s["t"] + 1)
+            whole = F.filter(starts, lambda s: (s["start"] >= 0) & (F.slice(t, F.greatest(s["start"] + 1, F.lit(1)), F.size(phrase(s))) == phrase(s)))
+            matches = F.transform(whole, lambda s: F.struct(F.element_at(labels, s["t"] + 1).alias("label"), F.element_at(bases, s["t"] + 1).alias("base"), s["start"].cast("bigint").alias("start")))
+            present = F.array_distinct(F.transform(ps, lambda p: F.struct(p["t"].alias("t"), p["r"].alias("r"), p["n"].alias("n"))))
+            best = _let(present, lambda own: F.array_max(F.transform(own, lambda p: F.size(F.filter(own, lambda q: q["t"] == p["t"])) / p["n"])))
+            return F.struct(matches.alias("matches"), F.coalesce(best, F.lit(0.0)).alias("best"))
+
+        return F.struct(n_words, F.when(F.exists(t, lambda w: w.isin(keys)), _let(posted, placed)).otherwise(none).alias("found"))
 
     got = docs.select(docs[id_col].alias(id_col), _let(tokens(lowered(docs[text_col])), found).alias("x"))
     return got.select(id_col, "x.n_words", "x.found.matches", "x.found.best")
