@@ -5,18 +5,24 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder: computed once, and safe when an executor is lost.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster that is an error,
+    since other machines couldn't read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or tempfile.mkdtemp(prefix="tilewright-")).rstrip("/")
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared checkpoint folder: computed once, and safe when an executor is lost."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
