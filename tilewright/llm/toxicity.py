@@ -31,7 +31,7 @@ from .common import durable, fold_of, hashed_sample, map_steps, raw
 SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1200}, 16_000_000
 WORDS, LEVEL = 3, 13
 #: Bytes of ordinary text before either dictionary, of what each round trains on half the documents, and of each text of the first round.
-BASE_BYTES, OWN_BYTES, PLAIN_BYTES = 131_072, 3072, 1_200_000
+BASE_BYTES, OWN_BYTES, PLAIN_BYTES = 65_536, 2048, 1_200_000
 #: The dictionary trainer's segment and pattern lengths, and windows that are one sample to it.
 SEGMENT, PATTERN, JOINED = 12, 6, 20
 ROUNDS, LIKELIER, KEPT = 5, 2.0, 3
