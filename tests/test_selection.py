@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions.intervals import near, shared_fraction
-from tilewright.operators import selection
+from tilewright.operators import selection, similarity
 
 
 def conflict(a, b, gap):
@@ -92,3 +92,36 @@ def test_predicates(spark):
     df = spark.createDataFrame([(0, 10, 10, 20), (0, 10, 11, 20), (0, 10, 5, 8), (0, 0, 0, 5)], "a int, b int, c int, d int")
     cols = [F.col(x) for x in "abcd"]
     assert [(r.n, r.f) for r in df.select(near(*cols, 0).alias("n"), shared_fraction(*cols).alias("f")).collect()] == [(True, 0.0), (False, 0.0), (True, 1.0), (True, 0.0)]
+
+
+def test_top_up_equals_taking_turns(spark):
+    """Rounds of proposals give each locus what it would get in turn, with many loci after the same primers."""
+    rng = random.Random(11)
+    own = [(f"L{rng.randrange(12):02}", rng.randrange(25), rng.randrange(5), rng.randrange(50)) for _ in range(260)]
+    rows = [(s, p, a, a + 10, m) for s, p, m, a in own]
+    picked = [r for k, r in enumerate(rows) if k % 23 == 0]
+    least = 6
+    amplicons, taken = (spark.createDataFrame(x, "serotype string, primer_ord bigint, start int, end int, mismatches int") for x in (rows, picked))
+    used, want = set(), set()
+    for locus in sorted({r[0] for r in rows}):
+        need = least - sum(r[0] == locus for r in picked)
+        before = {r[1] for r in picked if r[0] <= locus}
+        for p in dict.fromkeys(r[1] for r in sorted((r for r in rows if r[0] == locus), key=lambda r: (r[4], r[2], r[1]))):
+            if need > 0 and p not in used and p not in before:
+                used.add(p)
+                want.add((locus, p))
+                need -= 1
+    got = selection.top_up(amplicons, taken, least)
+    assert {(r.serotype, r.primer_ord) for r in got.where("added").collect()} == want
+    assert got.where("not added").count() == len(picked)
+
+
+def test_kmer_counts_equal_plain_loops(spark):
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choice(letters) for _ in range(n))) for k, (letters, n) in enumerate([("ACGT", 300), ("ACGTN", 300), ("ACGTNx", 200), ("A", 50), ("ACGT", 5), ("A", 0)])] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, sequence string").selectExpr("*", "1 AS n_kmers")
+    for k in (1, 6, 11, 31, 33):
+        for r in similarity.kmer_counts(df, k).collect():
+            s = r.sequence or ""
+            own = [x for i in range(len(s) - k + 1) if "N" not in (x := s[i : i + k])]
+            assert (r.n_kmers, r.n_distinct) == (len(own), len(set(own)))

@@ -120,3 +120,12 @@ def test_dimers(spark):
 def test_entry_module():
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and "coverage_summary" in names and "greedy_global" in names
+
+
+def test_bad_proportions_are_an_error_if_strict(spark):
+    known = spark.createDataFrame([("a",), ("b",)], "serotype string")
+    mixtures = spark.createDataFrame([("good", ["a", "b"], [0.5, 0.5]), ("unknown", ["c"], [0.2]), ("bad", ["a"], [0.5])], "mixture string, serotypes array<string>, proportions array<double>")
+    assert {r.mixture for r in simulate.members(mixtures, known).collect()} == {"good"}
+    assert simulate.members(mixtures.where("mixture <> 'bad'"), known, strict=True).count() == 2
+    with pytest.raises(Exception, match="don't add up to 1: bad"):
+        simulate.members(mixtures, known, strict=True).collect()

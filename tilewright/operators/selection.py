@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import near, neighbours, shared_fraction
@@ -78,31 +78,29 @@ def select_per_locus(amplicons: DataFrame, overlap: float = 0.7) -> DataFrame:
 def top_up(amplicons: DataFrame, picked: DataFrame, least: int = 5) -> DataFrame:
     """Names by locus after each locus with fewer than `least` picks got its best others. (serotype, primer_ord, added).
 
-    Loci follow each other by name, and what one adds no later one may add again: a sequential rule, so the candidates of short
-    loci (at most those of loci below the minimum) are one group. All other loci pass by.
+    Loci follow each other by name, and what one adds no later one may add again. Done in rounds: every short locus proposes its
+    best candidates, as many as it needs; each primer stays with the first of the loci that propose it; who lost some proposes as
+    many more. When nobody has more to propose, each locus holds what it would have got in turn, since a locus only ever loses
+    primers to loci before it. Nothing meets in one task but a locus' own candidates, to be ranked.
     """
     counts = picked.groupBy("serotype").agg(F.count("*").alias("n"))
     short = amplicons.select("serotype").distinct().join(counts, "serotype", "left").where(F.coalesce("n", F.lit(0)) < least).select("serotype", (least - F.coalesce("n", F.lit(0))).alias("need"))
     # a primer that a locus before this one picked can't be added; picks of later loci don't matter
     first = picked.groupBy("primer_ord").agg(F.min("serotype").alias("first"))
-    candidates = amplicons.join(F.broadcast(short), "serotype").join(first, "primer_ord", "left").where(F.col("first").isNull() | (F.col("first") > F.col("serotype"))).select("serotype", "primer_ord", "start", "end", "mismatches", "need")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for name, own in group.groupby("serotype", sort=True):
-            need = int(own["need"].iloc[0])
-            for p in own.sort_values(["mismatches", "start", "primer_ord"], kind="stable")["primer_ord"].tolist():
-                if need <= 0:
-                    break
-                if p not in used:
-                    used.add(p)
-                    out.append((name, p))
-                    need -= 1
-        return pd.DataFrame(out, columns=["serotype", "primer_ord"])
-
-    added = candidates.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fold, "serotype string, primer_ord bigint")
-    return picked.select("serotype", "primer_ord", F.lit(False).alias("added")).unionByName(added.withColumn("added", F.lit(True)))
+    open_to = amplicons.join(short, "serotype").join(first, "primer_ord", "left").where(F.col("first").isNull() | (F.col("first") > F.col("serotype")))
+    once = open_to.groupBy("serotype", "primer_ord").agg(F.min(F.struct("mismatches", "start")).alias("by"), F.first("need").alias("need"))
+    ranked = durable(once.withColumn("k", F.row_number().over(Window.partitionBy("serotype").orderBy("by", "primer_ord"))).drop("by"))
+    limits = durable(ranked.groupBy("serotype").agg(F.first("need").alias("need"), F.max("k").alias("most")).withColumn("upto", F.least(F.col("need").cast("bigint"), F.col("most").cast("bigint"))))
+    while True:
+        proposed = ranked.select("serotype", "primer_ord", "k").join(limits.select("serotype", "upto"), "serotype").where("k <= upto")
+        held = durable(proposed.groupBy("primer_ord").agg(F.min("serotype").alias("serotype")))
+        got = limits.join(held.groupBy("serotype").agg(F.count("*").alias("n")), "serotype", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        lacking = F.least(F.col("need") - F.col("n"), F.col("most") - F.col("upto"))
+        limits = durable(got.select("serotype", "need", "most", (F.col("upto") + F.greatest(lacking, F.lit(0))).alias("upto"), (lacking > 0).alias("more")))
+        if limits.where("more").isEmpty():
+            break
+        limits = limits.drop("more")
+    return picked.select("serotype", "primer_ord", F.lit(False).alias("added")).unionByName(held.select("serotype", "primer_ord", F.lit(True).alias("added")))
 
 
 def overlap_pairs(intervals: DataFrame, group: str, key: str, min_gap: int | None = None, fraction: float | None = None, width: int = 128) -> DataFrame:

@@ -49,12 +49,15 @@ def cover(loci: DataFrame, primers: DataFrame, p: Selection = Selection()) -> di
     return {"amplicons": amplicons, "summary": covered, "bins": coverage.bins(covered), "stats": coverage.stats(covered), "top": coverage.top(covered)}
 
 
-def simulate_suite(loci: DataFrame, primers: DataFrame, mixtures: DataFrame, p: Simulation = Simulation()) -> dict[str, DataFrame]:
-    """Reads, results by mixture and replicate, and their statistics. mixtures: mixture, replicate, serotypes, proportions."""
+def simulate_suite(loci: DataFrame, primers: DataFrame, mixtures: DataFrame, p: Simulation = Simulation(), strict: bool = False) -> dict[str, DataFrame]:
+    """Reads, results by mixture and replicate, and their statistics. mixtures: mixture, replicate, serotypes, proportions.
+
+    Mixtures whose proportions don't add up to 1 are skipped, or, if strict, end the run with an error.
+    """
     keyed = mixtures.withColumn("mixture", F.concat_ws("#", "mixture", F.col("replicate").cast("string")))
     amplicons = pcr.amplify(loci, primers).where(pcr.by_size()).join(loci.select("locus_ord", "sequence"), "locus_ord")
     amplicons = durable(amplicons.withColumn("amplicon_seq", F.substring("sequence", F.col("start") + 1, F.col("size"))).drop("sequence"))
-    member = durable(simulate.members(keyed, loci))
+    member = durable(simulate.members(keyed, loci, strict=strict))
     counts = simulate.amplified(member, amplicons, p.templates, cycles=p.cycles, efficiency=p.efficiency)
     shares = simulate.allocation(counts, p.depth, ("mixture",))
     source = shares.join(amplicons.select(F.col("primer_name").alias("primer"), "serotype", "amplicon_seq"), ["primer", "serotype"])

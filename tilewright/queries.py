@@ -1,8 +1,7 @@
 """Queries over the driver's tables, one for each operator or family, and the same in DuckDB SQL where SQL can say it.
 
 Documents stand in for loci (their letters become bases), shipments of a supplier for intervals of a locus, and the first and
-last 25 bases of a benchmark passage for a primer pair. Every query runs over whole tables. reads_sampled, kmer_index, read_map_kmer
-and deconvolve_reads take the first AMP bases of each document, as their SQL does; read_map_naive takes all of them.
+last 25 bases of a benchmark passage for a primer pair. Every query runs over whole tables and whole texts.
 """
 
 from __future__ import annotations
@@ -185,7 +184,7 @@ def oligo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def primer_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tile of every page's letters; own scoring, so no SQL."""
+    """Every tile of every page's letters. The scoring is this package's own, so there is no SQL; tests hold it against plain loops."""
     own = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("gene"), sq.dna(F.col("html")).alias("sequence"))
     tiled = windows.tiles(own, P.amplicon, P.overlap, P.min_amplicon)
     return design.named(design.design(tiled, ["gene", "amp_num"]), "gene")
@@ -205,30 +204,42 @@ def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- in-silico PCR ---
 
+# A site with at most two mismatches in 25 bases holds one of three disjoint pieces of 8 unchanged.
+PCR = f"""{LOCI}, b AS (SELECT item_id, {sq.dna_sql('text')} AS s FROM benchmark), pr AS (SELECT item_id AS primer_ord, left(s, {END}) AS l, right(s, {END}) AS r, length(s) AS product_size FROM b WHERE length(s) >= {2 * END}),
+probe AS (SELECT primer_ord, 'l' AS side, l AS q FROM pr UNION ALL SELECT primer_ord, 'r', r FROM pr), seed AS (SELECT *, substr(q, ofs + 1, 8) AS g FROM (SELECT *, unnest([0, 8, 16]) AS ofs FROM probe)),
+km AS (SELECT locus_ord, unnest(range(0, length(sequence) - 7)) AS pos, unnest(list_transform(range(1, length(sequence) - 6), lambda i: substr(sequence, i, 8))) AS g FROM loci),
+cand AS (SELECT DISTINCT primer_ord, side, q, locus_ord, pos - ofs AS st FROM km JOIN seed USING (g)),
+site AS (SELECT primer_ord, side, locus_ord, st, hamming(substr(sequence, st + 1, {END}), q) AS mm FROM cand JOIN loci USING (locus_ord) WHERE st >= 0 AND st + {END} <= length(sequence)),
+best AS (SELECT * FROM site WHERE mm <= 2 QUALIFY row_number() OVER (PARTITION BY primer_ord, side, locus_ord ORDER BY mm, st) = 1),
+amp AS (SELECT a.primer_ord, concat('item_', a.primer_ord) AS primer_name, a.locus_ord, a.locus_ord::VARCHAR AS serotype, a.st::INT AS "start", (z.st + {END})::INT AS "end", (z.st + {END} - a.st)::INT AS size, a.mm::INT AS left_mismatches, z.mm::INT AS right_mismatches, (a.mm + z.mm)::INT AS mismatches
+ FROM best a JOIN best z ON a.primer_ord = z.primer_ord AND a.locus_ord = z.locus_ord AND a.side = 'l' AND z.side = 'r' WHERE z.st > a.st)"""
 
-@query()
+
+@query(f"WITH {PCR} SELECT * FROM amp")
 def pcr_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcr.amplify(loci(spark, sf_dir), primer_pairs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {PCR} SELECT * FROM amp WHERE size BETWEEN 200 AND 1000")
 def pcr_amplicons_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcr_best_hit(spark, sf_dir).where(pcr.by_size())
 
 
-@query()
+@query(f"WITH {PCR} SELECT amp.*, product_size::INT AS product_size FROM amp JOIN pr USING (primer_ord) WHERE size >= 0.3 * product_size AND size <= 3.0 * product_size")
 def pcr_amplicons_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcr_best_hit(spark, sf_dir).join(primer_pairs(spark, sf_dir).select("primer_ord", "product_size"), "primer_ord").where(pcr.by_product())
 
 
-@query()
+@query(f"WITH {PCR}, n AS (SELECT serotype, count(DISTINCT primer_name)::BIGINT AS n FROM amp GROUP BY 1) SELECT serotype, coalesce(n, 0)::BIGINT AS amplicons, CASE WHEN coalesce(n, 0) >= {Selection().min_per_locus} THEN 'OK' ELSE 'LOW' END AS status FROM loci LEFT JOIN n USING (serotype)")
 def amplicons_per_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcr.per_locus(pcr_best_hit(spark, sf_dir), loci(spark, sf_dir), Selection().min_per_locus)
 
 
-@query()
+@query(f"""WITH {PCR}, iv AS (SELECT serotype, "start" AS s, "end" AS e FROM amp WHERE size BETWEEN 200 AND 1000), {RUNS}, n AS (SELECT serotype, count(*) AS n FROM iv GROUP BY 1), c AS (SELECT serotype, sum(e - s) AS c FROM runs GROUP BY 1)
+SELECT serotype, length(sequence)::INT AS locus_length, coalesce(n, 0)::BIGINT AS num_amplicons, coalesce(c, 0)::BIGINT AS covered_bases, CASE WHEN length(sequence) > 0 THEN coalesce(c, 0)::BIGINT / length(sequence) * 100 ELSE 0.0::DOUBLE END AS coverage_percent FROM loci LEFT JOIN n USING (serotype) LEFT JOIN c USING (serotype)""")
 def pcr_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.summary(pcr_amplicons_abs(spark, sf_dir), loci(spark, sf_dir).select("serotype", "length"))
+    # the search is dear and read twice, so its rows are written once
+    return coverage.summary(durable(pcr_amplicons_abs(spark, sf_dir)), loci(spark, sf_dir).select("serotype", "length"))
 
 
 # --- intervals ---
@@ -296,24 +307,40 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(spark, sf_dir).withColumn("mismatches", (F.col("primer_ord") % 3).cast("int"))
 
 
-@query(f"""WITH RECURSIVE {INTERVALS}, o AS (SELECT *, row_number() OVER (PARTITION BY serotype ORDER BY s, primer_ord, e) AS k FROM iv),
+def _greedy_sql(share: float) -> str:
+    over = f"least(x.e, o.e) - greatest(x.s, o.s) > 0 AND (least(x.e, o.e) - greatest(x.s, o.s)) / least(x.e - x.s, o.e - o.s) >= {share}"
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY serotype ORDER BY s, primer_ord, e) AS k FROM iv),
 g(serotype, k, primer_ord, s, e, ok, acc) AS (SELECT serotype, k, primer_ord, s, e, true, [{{'s': s, 'e': e}}] FROM o WHERE k = 1
- UNION ALL SELECT o.serotype, o.k, o.primer_ord, o.s, o.e, len(list_filter(g.acc, lambda x: least(x.e, o.e) - greatest(x.s, o.s) > 0 AND (least(x.e, o.e) - greatest(x.s, o.s)) / least(x.e - x.s, o.e - o.s) >= 0.7)) = 0,
- CASE WHEN len(list_filter(g.acc, lambda x: least(x.e, o.e) - greatest(x.s, o.s) > 0 AND (least(x.e, o.e) - greatest(x.s, o.s)) / least(x.e - x.s, o.e - o.s) >= 0.7)) = 0 THEN list_append(list_filter(g.acc, lambda x: x.e > o.s), {{'s': o.s, 'e': o.e}}) ELSE list_filter(g.acc, lambda x: x.e > o.s) END
- FROM g JOIN o ON o.serotype = g.serotype AND o.k = g.k + 1)
-SELECT serotype, primer_ord, s AS a, e AS b FROM g WHERE ok""")
+ UNION ALL SELECT o.serotype, o.k, o.primer_ord, o.s, o.e, len(list_filter(g.acc, lambda x: {over})) = 0,
+ CASE WHEN len(list_filter(g.acc, lambda x: {over})) = 0 THEN list_append(list_filter(g.acc, lambda x: x.e > o.s), {{'s': o.s, 'e': o.e}}) ELSE list_filter(g.acc, lambda x: x.e > o.s) END
+ FROM g JOIN o ON o.serotype = g.serotype AND o.k = g.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {INTERVALS}, {_greedy_sql(0.7)} SELECT serotype, primer_ord, s AS a, e AS b FROM g WHERE ok")
 def greedy_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_per_locus(_scored(spark, sf_dir)).select("serotype", "primer_ord", F.col("start").alias("a"), F.col("end").alias("b"))
 
 
-@query()
+LEAST = 120  # amplicons that greedy_topup wants of each locus
+
+
+@query(f"""WITH RECURSIVE {INTERVALS}, {_greedy_sql(0.05)}, picked AS (SELECT serotype::VARCHAR AS serotype, primer_ord FROM g WHERE ok),
+short AS (SELECT serotype, ({LEAST} - coalesce(n, 0))::BIGINT AS need FROM (SELECT DISTINCT serotype::VARCHAR AS serotype FROM iv) LEFT JOIN (SELECT serotype, count(*) AS n FROM picked GROUP BY 1) USING (serotype) WHERE coalesce(n, 0) < {LEAST}),
+cand AS (SELECT serotype, need, primer_ord, min(s) AS s FROM (SELECT serotype::VARCHAR AS serotype, primer_ord, s FROM iv) JOIN short USING (serotype) LEFT JOIN (SELECT primer_ord, min(serotype) AS first FROM picked GROUP BY 1) USING (primer_ord) WHERE first IS NULL OR first > serotype GROUP BY 1, 2, 3),
+cl AS (SELECT serotype, need, row_number() OVER (ORDER BY serotype) AS i, list(primer_ord ORDER BY primer_ord % 3, s, primer_ord) AS c FROM cand GROUP BY 1, 2),
+f(i, serotype, picks, used) AS (SELECT 0::BIGINT, '', []::BIGINT[], []::BIGINT[] UNION ALL SELECT cl.i, cl.serotype, list_slice(list_filter(cl.c, lambda x: NOT list_contains(f.used, x)), 1, cl.need), list_concat(f.used, list_slice(list_filter(cl.c, lambda x: NOT list_contains(f.used, x)), 1, cl.need)) FROM f JOIN cl ON cl.i = f.i + 1)
+SELECT serotype, primer_ord, false AS added FROM picked UNION ALL SELECT serotype, unnest(picks), true FROM f""")
 def greedy_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     picked = durable(selection.select_per_locus(rows, 0.05))
-    return selection.top_up(rows.withColumn("serotype", F.col("serotype").cast("string")), picked.withColumn("serotype", F.col("serotype").cast("string")), 120)
+    return selection.top_up(rows.withColumn("serotype", F.col("serotype").cast("string")), picked.withColumn("serotype", F.col("serotype").cast("string")), LEAST)
 
 
-@query()
+@query(f"""WITH RECURSIVE {INTERVALS}, n AS (SELECT p_partkey AS primer_ord, count(DISTINCT serotype)::BIGINT AS loci FROM part LEFT JOIN iv ON primer_ord = p_partkey GROUP BY 1), ranked AS (SELECT *, row_number() OVER (ORDER BY loci DESC, primer_ord) AS r FROM n),
+conf AS (SELECT DISTINCT least(x.r, y.r) AS before, greatest(x.r, y.r) AS r FROM iv a JOIN iv b ON a.serotype = b.serotype AND a.primer_ord < b.primer_ord AND b.s - a.e < 1 AND a.s - b.e < 1 JOIN ranked x ON x.primer_ord = a.primer_ord JOIN ranked y ON y.primer_ord = b.primer_ord),
+seq AS MATERIALIZED (SELECT r, coalesce(bl, []::BIGINT[]) AS bl FROM ranked LEFT JOIN (SELECT r, list(before) AS bl FROM conf GROUP BY 1) USING (r)),
+f(r, ok, taken) AS (SELECT 0::BIGINT, false, []::BIGINT[] UNION ALL SELECT seq.r, NOT list_has_any(seq.bl, f.taken), CASE WHEN list_has_any(seq.bl, f.taken) THEN f.taken ELSE list_append(f.taken, seq.r) END FROM f JOIN seq ON seq.r = f.r + 1)
+SELECT primer_ord, loci FROM f JOIN ranked USING (r) WHERE ok""")
 def greedy_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("primer_ord"))
     return selection.select_globally(parts, intervals(spark, sf_dir), min_gap=1, width=64)
@@ -349,15 +376,7 @@ def read_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AMP, PER = 600, 3  # bases of an amplicon, reads of each
 READ, REACH = 150, 100  # bases of a read (shorter loci have no amplicon), bases of a tile on each side of its target
-
-
-def _amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loci(spark, sf_dir).where(F.col("length") >= 150).select(F.lit(0).cast("bigint").alias("primer_ord"), "locus_ord", "serotype", F.substring("sequence", 1, AMP).alias("amplicon_seq"))
-
-
-def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simulate.reads(_amplicons(spark, sf_dir).withColumn("num_reads", F.lit(PER)), 150, keys=("serotype",))
-    return rows.select(F.concat_ws("_", "serotype", "read_no").alias("read_id"), "serotype", "start", "read")
+APART = AMP - 2 * REACH - P.overlap  # bases from one tile to the next
 
 
 def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,40 +389,46 @@ def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tiled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simulate.reads(_tiled(spark, sf_dir).withColumn("num_reads", F.lit(PER)), READ, keys=("serotype", "primer_ord"))
-    return rows.select(F.concat_ws("_", "serotype", "primer_ord", "read_no").alias("read_id"), "read")
+    return rows.select(F.concat_ws("_", "serotype", "primer_ord", "read_no").alias("read_id"), "start", "read")
 
 
-READS = f"""{LOCI}, amp AS (SELECT locus_ord, serotype, substr(sequence, 1, {AMP}) AS a FROM loci WHERE length(sequence) >= 150), rd0 AS (SELECT *, unnest(range(1, {PER + 1})) AS k FROM amp),
-rd AS (SELECT concat_ws('_', serotype, k) AS read_id, serotype, st, substr(a, st + 1, 150) AS read FROM (SELECT *, CASE WHEN length(a) <= 150 THEN 0 ELSE {sq.hashed_sql('serotype', 'k::VARCHAR', "'0'")} % (length(a) - 149) END::INT AS st FROM rd0))"""
+READS = f"""{LOCI}, amp AS (SELECT locus_ord, serotype, (rs // {APART} + 1)::BIGINT AS primer_ord, substr(sequence, rs + 1, least(rs + {AMP}, length(sequence)) - rs) AS a FROM (SELECT *, unnest(range(0, length(sequence), {APART})) AS rs FROM loci WHERE length(sequence) >= {READ}) WHERE least(rs + {AMP}, length(sequence)) - rs >= {READ}),
+rd0 AS (SELECT *, unnest(range(1, {PER + 1})) AS k FROM amp),
+rd AS (SELECT concat_ws('_', serotype, primer_ord, k) AS read_id, st, substr(a, st + 1, {READ}) AS read FROM (SELECT *, CASE WHEN length(a) <= {READ} THEN 0 ELSE {sq.hashed_sql('serotype', 'primer_ord::VARCHAR', 'k::VARCHAR', "'0'")} % (length(a) - {READ - 1}) END::INT AS st FROM rd0))"""
 
 
 @query(f"WITH {READS} SELECT read_id, st AS read_start, md5(read) AS read_md5 FROM rd")
 def reads_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reads(spark, sf_dir).select("read_id", F.col("start").alias("read_start"), F.md5("read").alias("read_md5"))
+    return _tiled_reads(spark, sf_dir).select("read_id", F.col("start").alias("read_start"), F.md5("read").alias("read_md5"))
 
 
 @query(f"WITH {READS} SELECT locus_ord, count(*)::BIGINT AS postings, count(DISTINCT kmer)::BIGINT AS kmers, max(p)::INT AS last FROM (SELECT locus_ord, unnest(range(0, length(a) - 30)) AS p, unnest(list_transform(range(1, length(a) - 29), lambda i: substr(a, i, 31))) AS kmer FROM amp) GROUP BY 1")
 def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readmap.postings(_amplicons(spark, sf_dir)).groupBy("locus_ord").agg(F.count("*").alias("postings"), F.count_distinct("kmer").alias("kmers"), F.max("position").alias("last"))
+    return readmap.postings(_tiled(spark, sf_dir)).groupBy("locus_ord").agg(F.count("*").alias("postings"), F.count_distinct("kmer").alias("kmers"), F.max("position").alias("last"))
 
 
-MAPPED = f"""{READS}, ix AS (SELECT locus_ord, kmer, count(*) AS n FROM (SELECT locus_ord, unnest(list_transform(range(1, length(a) - 29), lambda i: substr(a, i, 31))) AS kmer FROM amp) GROUP BY 1, 2), q AS (SELECT read_id, kmer, count(*) AS m, min(p) AS p FROM (SELECT read_id, unnest(range(0, length(read) - 30)) AS p, unnest(list_transform(range(1, length(read) - 29), lambda i: substr(read, i, 31))) AS kmer FROM rd) GROUP BY 1, 2),
-sc AS (SELECT read_id, locus_ord, sum(m * n)::BIGINT AS score, min(p) AS p FROM q JOIN ix USING (kmer) GROUP BY 1, 2), mp AS (SELECT read_id, locus_ord, score FROM sc QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, p, locus_ord) = 1)"""
+MAPPED = f"""{READS}, ix AS (SELECT primer_ord, locus_ord, kmer, count(*) AS n FROM (SELECT primer_ord, locus_ord, unnest(list_transform(range(1, length(a) - 29), lambda i: substr(a, i, 31))) AS kmer FROM amp) GROUP BY 1, 2, 3), q AS (SELECT read_id, kmer, count(*) AS m, min(p) AS p FROM (SELECT read_id, unnest(range(0, length(read) - 30)) AS p, unnest(list_transform(range(1, length(read) - 29), lambda i: substr(read, i, 31))) AS kmer FROM rd) GROUP BY 1, 2),
+sc AS (SELECT read_id, primer_ord, locus_ord, sum(m * n)::BIGINT AS score, min(p) AS p FROM q JOIN ix USING (kmer) GROUP BY 1, 2, 3), mp AS (SELECT read_id, primer_ord, locus_ord, score FROM sc QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, p, primer_ord, locus_ord) = 1)"""
 
 
-@query(f"WITH {MAPPED} SELECT read_id, locus_ord, score FROM mp")
+@query(f"WITH {MAPPED} SELECT read_id, primer_ord, locus_ord, score FROM mp")
 def read_map_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readmap.map_by_kmers(_reads(spark, sf_dir), _amplicons(spark, sf_dir)).select("read_id", "locus_ord", "score")
+    return readmap.map_by_kmers(_tiled_reads(spark, sf_dir), _tiled(spark, sf_dir))
 
 
-@query()
+# A site with at most five mismatches in a read holds one of six disjoint pieces unchanged, and so its first 16 bases.
+@query(f"""WITH {READS}, piece AS (SELECT read_id, read, ofs, substr(read, ofs + 1, 16) AS g FROM (SELECT *, unnest(range(0, {READ}, {READ // 6})) AS ofs FROM rd)),
+ix AS (SELECT primer_ord, locus_ord, unnest(range(0, length(a) - 15)) AS pos, unnest(list_transform(range(1, length(a) - 14), lambda i: substr(a, i, 16))) AS g FROM amp),
+cand AS (SELECT DISTINCT read_id, read, primer_ord, locus_ord, pos - ofs AS st FROM piece JOIN ix USING (g)),
+site AS (SELECT read_id, primer_ord, locus_ord, hamming(substr(a, st + 1, {READ}), read)::INT AS mismatches FROM cand JOIN amp USING (primer_ord, locus_ord) WHERE st >= 0 AND st + {READ} <= length(a))
+SELECT * FROM site WHERE mismatches <= 5 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY mismatches, primer_ord, locus_ord) = 1""")
 def read_map_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readmap.map_by_mismatches(_tiled_reads(spark, sf_dir), _tiled(spark, sf_dir)).select("read_id", "primer_ord", "locus_ord", "mismatches")
 
 
 @query(f"WITH {MAPPED}, c AS (SELECT locus_ord AS serotype, count(*)::BIGINT AS reads FROM mp GROUP BY 1) SELECT serotype, reads, reads / (SELECT sum(reads) FROM c)::BIGINT AS proportion FROM c")
 def deconvolve_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapped = readmap.map_by_kmers(_reads(spark, sf_dir), _amplicons(spark, sf_dir))
+    mapped = readmap.map_by_kmers(_tiled_reads(spark, sf_dir), _tiled(spark, sf_dir))
     return evaluate.deconvolve(mapped, (), "locus_ord").withColumnRenamed("locus_ord", "serotype")
 
 
