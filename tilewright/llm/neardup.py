@@ -46,8 +46,9 @@ UNION_K, UNION_LEAST = 48, 16
 #: A list whose largest component has this many members is compared in blocks: at most BLOCK documents and BLOCK_VALUES
 #: values a side, so a task's memory is bounded whatever the size of the list.
 FAMILY, BLOCK, BLOCK_VALUES, COLUMNS = 16, 1000, 1_500_000, 4096
-#: Other lists are compared in blocks as well, where they would make more pairs than this.
-LIST_PAIRS = 1024
+#: Other lists are compared in blocks as well, where they would make more pairs than this; up to it the packed sketches are compared
+#: inside the join, which costs far less than moving whole sets.
+LIST_PAIRS = 1_000_000
 #: Pairs that one leader's set is sent to together; a leader of more is dealt to several tasks.
 LEADER_PAIRS = 256
 #: Ids are broadcast up to this number of rows, else joined.
