@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, leaks, licenses, neardup, pages, pieces, secrets, toxicity
+from . import chat, fingerprints, langid, leaks, licenses, neardup, pages, pieces, search, secrets, simhash, toxicity
 from .common import LOWER, UPPER, fold_of, table
 
 
@@ -62,6 +62,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "near")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
@@ -73,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_simhash": op12_simhash,
 }
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -104,7 +115,20 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_near, 0)::BIGINT AS n_near
 FROM d LEFT JOIN pos USING (r) LEFT JOIN own USING (r) LEFT JOIN near USING (r)"""
 
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{TERM}') AS ws FROM documents),
+total AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS docs, sum(len(ws))::BIGINT AS words FROM d),
+q AS (SELECT item_id, t, count(*)::BIGINT AS q FROM (SELECT item_id, unnest(regexp_extract_all({LOWERED}, '{TERM}')) AS t FROM benchmark) GROUP BY 1, 2),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+w AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * n + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS n FROM tf GROUP BY 1), total),
+i AS (SELECT r, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ws)::BIGINT * docs) // words)) AS i FROM tf JOIN d USING (r), total),
+s AS (SELECT item_id, r, sum(q * w * i)::BIGINT AS score FROM q JOIN i USING (t) JOIN w USING (t) GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0
+QUALIFY rank <= 20"""
+
 SQL: dict[str, str] = {
+    "op11_ranked_search": OP11_SQL,
     "op5_near_duplicates": OP5_SQL,
     "op10_decontamination": OP10_SQL,
     "op1_license_scan": licenses.oracle_sql(),
