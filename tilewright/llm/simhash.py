@@ -33,8 +33,8 @@ SHINGLE, SEED, BITS = 3, 42, 64
 RADIUS, INNER, OUTER = 3, 1, 2
 #: Fingerprints that share a part of the variants before it is cut further; a part's variants then take some 100 MB.
 LIMIT = 20_000
-#: Leading bits by which a part is cut at once.
-STEP_BITS = 8
+#: Leading bits at least, and by which a crowded part is cut further.
+LEAST_BITS, STEP_BITS = 8, 8
 #: Fingerprints whose outer variants are made together.
 TOGETHER = 2000
 #: A fingerprint of more than this share of all rows is looked up by broadcast, so fewer than its inverse are.
@@ -150,21 +150,21 @@ def _links(parts: DataFrame, bits: int) -> DataFrame:
 
 def links(different: DataFrame, n: int) -> DataFrame:
     """A spanning forest, or somewhat more, of the links between n different fingerprints f: pairs (a, b) at RADIUS bits or fewer."""
-    bits = min(BITS, max(4, (n * 8 // LIMIT).bit_length()))
-    rows = durable(_cut(different.select("f", F.lit(OUTER).alias("left"), F.lit(0).cast("bigint").alias("part")), 0, bits))
+    copies = lambda b: 1 + b + b * (b - 1) // 2
+    bits = next(b for b in range(LEAST_BITS, BITS) if n * copies(b) <= LIMIT // 2 << b)
+    rows = _cut(different.select("f", F.lit(OUTER).alias("left"), F.lit(0).cast("bigint").alias("part")), 0, bits)
     found = None
-    while True:
-        sizes = durable(rows.groupBy("part").agg(F.count("*").alias("n")))
-        crowded = sizes.where(F.col("n") > LIMIT) if bits < BITS else sizes.limit(0)
+    while True:  # what is cut is made again wherever it is read: that costs less than to store it
+        sizes = durable(rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"))  # parts of one row link nothing
+        crowded = sizes.where((F.col("n") > LIMIT) & F.lit(bits < BITS))
         more = not crowded.isEmpty()
-        # parts of one row link nothing
-        fits = sizes.where((F.col("n") > 1) & ((F.col("n") <= LIMIT) if bits < BITS else F.lit(True))).select("part")
-        one = durable(_links(rows.join(fits, "part", "left_semi"), bits))
+        own = rows.join(crowded.select("part"), "part", "left_anti") if more else rows
+        one = durable(_links(own, bits))
         found = one if found is None else found.unionByName(one)
         if not more:
             return found.distinct()
         step = min(STEP_BITS, BITS - bits)
-        rows = durable(_cut(rows.join(crowded.select("part"), "part", "left_semi"), bits, step))
+        rows = _cut(durable(rows.join(crowded.select("part"), "part", "left_semi")), bits, step)
         bits += step
 
 
