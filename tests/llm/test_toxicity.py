@@ -67,3 +67,27 @@ def test_few_documents_and_repeated_ids(spark):
     docs, labels = tables(spark, 200)
     extra = labels.selectExpr("doc_id", "toxic", "'x' AS text", "1 AS n", "2 AS h", "3 AS g")
     assert toxicity.fit(docs.unionByName(docs), extra).weights.tolist() == toxicity.fit(docs, labels).weights.tolist()
+
+
+def test_long_texts_ties_and_what_a_worker_remembers(monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice(["an", "er", "th", "on"]) for _ in range(3)) for _ in range(n))
+    toxic, ordinary = [f"{text(40)} {rng.choice(BAD)} {text(9)}".encode() for _ in range(60)], [text(50).encode() for _ in range(150)]
+    model = toxicity.Model(toxic, ordinary)
+    long = (text(200_000) + " " + " ".join(BAD * 50)).encode()
+    batch = [long, toxic[0], toxic[0], b"", b" \n", b"...", ordinary[0], b"\xff\xfe odd bytes"]
+    whole, known = model.scores(batch), {}
+    assert whole[1] == whole[2] > 0.5 and len({whole[k] for k in (3, 4, 5)}) == 1 and whole[6] < 0.5 and whole[0] > model.scores([long[:1000]])[0]
+    assert [model.scores([t], known)[0] for t in batch] == whole.tolist() == model.scores(batch, known).tolist()
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    assert [model.scores([t], known)[0] for t in batch] == whole.tolist()
+
+
+def test_better_than_half_of_the_words_unseen():
+    """Words that only the other folds' documents hold are found by their dictionaries."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re", "st"]) for _ in range(rng.randrange(1, 5)))
+    bad = [f"{a}{b}" for a in ("grob", "fluk", "zwip") for b in ("an", "er", "ish", "ing")]
+    make = lambda n, k: [" ".join([word() for _ in range(60)] + [rng.choice(bad) for _ in range(k)]).encode() for _ in range(n)]
+    model = toxicity.Model(make(150, 2), make(500, 0))
+    assert (model.scores(make(200, 2)) >= 0.5).mean() > 0.9 and (model.scores(make(200, 0)) >= 0.5).mean() < 0.03

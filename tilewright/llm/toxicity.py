@@ -1,22 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of toxic documents and one on windows of ordinary ones. A window of a few
-words is compressed twice, with the one dictionary and with the other, both behind the same base of ordinary text; the bytes that
-the toxic one saves are the window's gain.
-
-Most windows of a toxic document are ordinary, so both dictionaries are trained in ROUNDS, always on whole documents' windows:
-of two halves of the labelled documents each is compressed with the dictionaries of the other half, a threshold is set
-where windows of toxic documents gain as much LIKELIER times as often as those of ordinary ones, and the next dictionaries
-are trained on the windows beyond it, the toxic one on those of toxic documents, the ordinary one on those that pass by mistake.
-The first round compresses with the plain texts of the other half instead; the last KEPT rounds' dictionaries stay.
-
-How often each gain occurs in documents of either kind, measured across the halves, calibrates a document's windows; a logistic
-threshold weighs them up. Fitting takes a bounded sample of labelled rows: SAMPLE documents of each class at most, chosen by a
-hash of the id, until SAMPLE_BYTES. Every document is scored over its whole text.
+zstandard dictionaries are trained, one on windows of toxic documents and one on windows of ordinary ones. A window, here one
+word (a run of letters) with a space on both sides, is compressed with the one dictionary and with the other. How often each pair of lengths
+occurs, by the window's own length, in documents of either kind calibrates it: the logarithm of the ratio is the window's evidence.
+
+The labelled sample is dealt into FOLDS. Each fold has its own pair of dictionaries, trained on all windows of all other folds, so
+evidence is always measured on documents that the dictionaries haven't seen. Most windows of a toxic document are ordinary, so there
+are two rounds: the first round's dictionaries are large and trained on everything; in the second round both kinds share the ordinary
+one, and behind it stands a small one of their own, trained on the windows that the first round takes for toxic: for the toxic kind
+those of toxic documents, for the ordinary kind those that ordinary documents have by mistake.
+
+A window's evidence is the mean over the folds' pairs of dictionaries; a logistic threshold weighs a document's windows up.
+Fitting takes a bounded sample of labelled rows: SAMPLE documents of each class at most, chosen by a hash of the id, until
+SAMPLE_BYTES, and all text of them. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,33 +30,58 @@ from .common import durable, fold_of, hashed_sample, map_steps, raw
 
 #: Labelled documents of each class, and bytes of text, that fitting may take.
 SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1200}, 16_000_000
-WORDS, LEVEL = 3, 13
-#: Bytes of ordinary text before either dictionary, of what each round trains on half the documents, and of each text of the first round.
-BASE_BYTES, OWN_BYTES, PLAIN_BYTES = 65_536, 2048, 1_200_000
-#: The dictionary trainer's segment and pattern lengths, and windows that are one sample to it.
-SEGMENT, PATTERN, JOINED = 12, 6, 20
-ROUNDS, LIKELIER, KEPT = 5, 2.0, 3
-#: Gains beyond are counted as these.
-LOW, HIGH = -12, 12
+FOLDS, LEVEL = 4, 13
+#: Sizes of the first round's dictionaries and of the second's, with the trainer's segment and pattern lengths; windows that are one
+#: sample to it.
+FIRST, OWN, JOINED = (112_640, 24, 8), (4096, 16, 6), 20
+#: Bytes of frequent windows that are put back behind a trained dictionary.
+RESTORED = 512
+#: Evidence from which a window is trained on in the second round.
+LIKELY = 1.0
+#: Compressed lengths are counted up to LENGTHS bytes above the least, windows' own lengths in steps of WIDTH bytes up to WIDTHS steps.
+LENGTHS, WIDTH, WIDTHS = 16, 4, 5
+#: Evidence of so many ordinary windows stands in for what hasn't been seen.
+PRIOR = 10
+#: Windows whose evidence a worker remembers.
+REMEMBERED = 500_000
 #: Stands at the end of every dictionary and before each window: one match, without which zstandard would store short windows as they are.
 LEAD = bytes(range(240, 252))
+#: Stands behind each window: zstandard looks for no match in a block's last bytes.
+TAIL = bytes(range(8))
+
+
+#: Everything beyond ASCII counts as letters.
+TO_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def windows(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    return [b" %s " % b" ".join(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
+    """The words of a text, runs of letters in lower case, with the spaces that part them."""
+    return [b" %s " % w for w in text.decode("utf-8", "replace").lower().encode().translate(TO_LETTERS).split()]
+
 
+def trained(samples: list[bytes], size: int, segment: int, pattern: int) -> bytes:
+    """A zstandard dictionary of the windows; where they are too few to train on, the windows themselves, the most frequent last.
 
-def trained(samples: list[bytes]) -> bytes:
-    """A zstandard dictionary of the windows; where they are too few to train on, the windows themselves."""
-    joined = [b"".join(samples[k : k + JOINED]) for k in range(0, len(samples), JOINED)]
+    The trainer puts its best segments last, and cuts off as many bytes there as its header takes. So the most frequent
+    windows that the dictionary then lacks are put back behind it, up to RESTORED bytes.
+    """
+    counts = Counter(samples)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
     try:
-        return zstd.train_dictionary(OWN_BYTES, joined, k=SEGMENT, d=PATTERN).as_bytes()
+        content = zstd.train_dictionary(size, [b"".join(samples[k : k + JOINED]) for k in range(0, len(samples), JOINED)], k=segment, d=pattern).as_bytes()
     except zstd.ZstdError:
-        return b"".join(joined)[-OWN_BYTES:]
+        return b"".join(ranked[::-1])[-size:]
+    back, room = [], RESTORED
+    for w in ranked:
+        if room < len(w):
+            break
+        if w not in content:
+            back.append(w)
+            room -= len(w)
+    return content + b"".join(back[::-1])
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=4 * FOLDS)
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     own = zstd.ZstdCompressionDict(content + LEAD, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     how = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -64,93 +90,94 @@ def _compressor(content: bytes) -> zstd.ZstdCompressor:
 
 
 def lengths(content: bytes, batch: list[bytes], threads: int = 1) -> np.ndarray:
-    """Compressed length of each window with a dictionary."""
+    """Compressed length of each window with a dictionary, without what LEAD and TAIL take."""
     out, c = np.zeros(len(batch), np.int64), _compressor(content)
     for k in range(0, len(batch), 20_000):
-        part = [LEAD + w for w in batch[k : k + 20_000]]
+        part = [LEAD + w + TAIL for w in batch[k : k + 20_000]]
         out[k : k + len(part)] = [len(x) for x in c.multi_compress_to_buffer(part, threads=threads)]
-    return out
+    return out - len(LEAD) - len(TAIL)
+
+
+def cells(pair: tuple[bytes, bytes], batch: list[bytes], threads: int = 1) -> np.ndarray:
+    """The cell of the calibration in which each window is: its lengths with the ordinary and the toxic dictionary, and its own."""
+    ordinary, toxic = (np.clip(lengths(x, batch, threads), 0, LENGTHS - 1) for x in pair)
+    own = np.minimum(np.fromiter(map(len, batch), np.int64, len(batch)) // WIDTH, WIDTHS - 1)
+    return (toxic * LENGTHS + ordinary) * WIDTHS + own
 
 
 class _Windows:
-    """The windows of some documents: each different one once, and which documents have it."""
+    """The different windows of some documents, and which of them each document has."""
 
     def __init__(self, texts: list[bytes]):
         known: dict[bytes, int] = {}
-        own = [[known.setdefault(w, len(known)) for w in windows(t)] for t in texts]
-        self.n, self.distinct = len(texts), list(known)
-        self.doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        self.which = np.array([k for x in own for k in x], np.int64)
-        pairs = np.unique(self.doc * max(1, len(known)) + self.which)
-        self.once = pairs % max(1, len(known))  # windows by document, repeated ones once
+        self.own = [np.array([known.setdefault(w, len(known)) for w in dict.fromkeys(windows(t))], np.int64) for t in texts]
+        self.distinct = list(known)
 
-    def gains(self, toxic: bytes, ordinary: bytes, threads: int) -> np.ndarray:
-        return lengths(ordinary, self.distinct, threads) - lengths(toxic, self.distinct, threads)
+    def all(self, keep: np.ndarray | None = None) -> list[bytes]:
+        """Each document's windows, one after the other; only those that keep marks."""
+        return [self.distinct[k] for x in self.own for k in (x if keep is None else x[keep[x]])]
 
-    def beyond(self, gains: np.ndarray, least: int) -> list[bytes]:
-        return [self.distinct[k] for k in self.once[gains[self.once] >= least]]
+    def counts(self, cell: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(cell[x], minlength=LENGTHS * LENGTHS * WIDTHS) for x in self.own), np.zeros(LENGTHS * LENGTHS * WIDTHS))
 
-    def histogram(self, gains: np.ndarray) -> np.ndarray:
-        """How many windows of each document have each gain from LOW to HIGH."""
-        width = HIGH - LOW + 1
-        at = np.clip(gains, LOW, HIGH)[self.which] - LOW if self.which.size else self.which
-        return np.bincount(self.doc * width + at, minlength=self.n * width).reshape(self.n, width).astype(float)
 
-
-def _threshold(toxic: np.ndarray, ordinary: np.ndarray) -> int:
-    """The least gain that is LIKELIER times as frequent in toxic documents; where none is, the one that stands out most."""
-    grid = np.arange(1, HIGH)
-    t, o = (np.array([(x >= g).mean() if x.size else 0.0 for g in grid]) for x in (toxic, ordinary))
-    good = np.flatnonzero(t >= LIKELIER * o + 1e-4)
-    return int(grid[good[0]] if good.size else grid[np.argmax((t - o) / np.sqrt(o + 1e-5))])
+def features(evidence: np.ndarray) -> list[float]:
+    """Of a document's windows: 1, all evidence, also by their number, that number, how many have each amount or more, the largest."""
+    e = np.sort(evidence)[::-1]
+    return [1.0, e.sum() / 10, e.sum() / np.sqrt(e.size + 4), np.log1p(e.size), *[np.log1p(np.count_nonzero(e > x)) for x in (0.5, 1, 1.5, 2, 2.5, 3)], *np.append(e[:3], np.zeros(3))[:3]]
 
 
 class Model:
-    """The two dictionaries, the calibration of gains and the weights of a document's features.
+    """The folds' pairs of dictionaries (ordinary, toxic), the evidence of each cell and the weights of a document's features.
 
-    odds: how many labelled documents are toxic for each ordinary one, where the sample's own odds differ. Without four documents
+    odds: how many labelled documents are toxic for each ordinary one, where the sample's own odds differ. Without FOLDS documents
     of each class there are no weights.
     """
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes], odds: float | None = None, threads: int = 4):
-        self.weights = None
-        if len(toxic) < 4 or len(ordinary) < 4:
+        self.weights, self.pairs = None, []
+        if min(len(toxic), len(ordinary)) < FOLDS:
             return
-        flat = lambda texts, n: b" ".join(b"".join(windows(t)) for t in texts)[:n]
-        base = flat(ordinary[::3], BASE_BYTES)
-        rest = [t for k, t in enumerate(ordinary) if k % 3] if len(ordinary) >= 12 else ordinary
-        texts = {1: [toxic[h::2] for h in (0, 1)], 0: [rest[h::2] for h in (0, 1)]}
-        found = {c: [_Windows(x) for x in texts[c]] for c in texts}
-        plain = {c: [flat(x, PLAIN_BYTES) for x in texts[c]] for c in texts}
-        n = min(len(x) for c in plain for x in plain[c])
-        own, rounds = {c: [x[:n] for x in plain[c]] for c in plain}, []
-        for k in range(ROUNDS + 1):
-            gains = {c: [w.gains(base + own[1][1 - h], base + own[0][1 - h], threads) for h, w in enumerate(found[c])] for c in found}
-            if k < ROUNDS:
-                least = _threshold(*[np.concatenate([g[w.once] for g, w in zip(gains[c], found[c])]) for c in (1, 0)])
-                rounds = [*rounds[1 - KEPT :], {c: [trained(w.beyond(g, least)) for g, w in zip(gains[c], found[c])] for c in found}]
-                own = {c: [b"".join(r[c][h] for r in rounds) for h in (0, 1)] for c in found}
-        counts = {c: np.concatenate([w.histogram(g) for g, w in zip(gains[c], found[c])]) for c in found}
-        self.toxic, self.ordinary = (base + own[c][0] + own[c][1] for c in (1, 0))
-        t, o = counts[1].sum(0), counts[0].sum(0)
-        usual = (o + 1) / (o.sum() + o.size)
-        self.evidence = np.log((t + 5 * usual) / (t.sum() + 5)) - np.log(usual)
-        self.weights = logistic(np.concatenate([self.features(counts[c]) for c in (1, 0)]), np.repeat([1.0, 0.0], [len(counts[c]) for c in (1, 0)]))
+        folds = [[_Windows(x[f::FOLDS]) for f in range(FOLDS)] for x in (ordinary, toxic)]
+        train = lambda lists, how: [trained([w for g, x in enumerate(lists) if g != f for w in x], *how) for f in range(FOLDS)]
+        first = [train([w.all() for w in own], FIRST) for own in folds]
+        found = self._calibrate(folds, list(zip(*first)), threads)
+        own = [train([w.all(self.evidence[c] >= LIKELY) for w, c in zip(*x)], OWN) for x in zip(folds, found)]
+        found = self._calibrate(folds, [(b + o, b + t) for b, o, t in zip(first[0], *own)], threads)
+        x = [features(self.evidence[c][d]) for kind, at in zip(folds, found) for w, c in zip(kind, at) for d in w.own]
+        self.weights = logistic(np.array(x), np.repeat([0.0, 1.0], [len(ordinary), len(toxic)]))
         if odds:
             self.weights[0] += np.log(odds * len(ordinary) / len(toxic))
 
-    def features(self, counts: np.ndarray) -> np.ndarray:
-        """1, the evidence of all windows, also by their number, that number, how many gain 2 to 8 or more, and the largest gain."""
-        total, n = counts @ self.evidence, counts.sum(1)
-        more = np.cumsum(counts[:, ::-1], 1)[:, ::-1]
-        top = np.where(counts > 0, np.arange(LOW, HIGH + 1), 0).max(1)
-        return np.column_stack([np.ones(len(counts)), total, total / np.sqrt(n + 4), np.log1p(n), *[np.log1p(more[:, g - LOW]) for g in range(2, 9)], top / 4])
-
-    def scores(self, batch: list[bytes]) -> np.ndarray:
+    def _calibrate(self, folds: list[list[_Windows]], pairs: list[tuple[bytes, bytes]], threads: int) -> list[list[np.ndarray]]:
+        """Sets the evidence; returns the cells of each fold's windows under its own pair."""
+        self.pairs = pairs
+        found = [[cells(p, w.distinct, threads) for p, w in zip(pairs, own)] for own in folds]
+        o, t = (sum(w.counts(c) for w, c in zip(own, at)) for own, at in zip(folds, found))
+        usual = (o + 0.5) / (o.sum() + 0.5 * o.size)
+        self.evidence = np.log((t + PRIOR * usual) / (t.sum() + PRIOR)) - np.log(usual)
+        return found
+
+    @property
+    def ordinary(self) -> bytes:
+        return b"".join(o for o, _ in self.pairs)
+
+    @property
+    def toxic(self) -> bytes:
+        return b"".join(t for _, t in self.pairs)
+
+    def scores(self, batch: list[bytes], known: dict[bytes, float] | None = None) -> np.ndarray:
+        """known: evidence of windows met before; it is added to, and emptied when it is full."""
         if self.weights is None or not batch:
             return np.zeros(len(batch))
-        own = _Windows(batch)
-        return 1 / (1 + np.exp(-np.clip(self.features(own.histogram(own.gains(self.toxic, self.ordinary, 1))) @ self.weights, -30, 30)))
+        known = {} if known is None else known
+        own = [list(dict.fromkeys(windows(t))) for t in batch]
+        if len(known) > REMEMBERED:
+            known.clear()
+        fresh = list(dict.fromkeys(w for x in own for w in x if w not in known))
+        known.update(zip(fresh, np.mean([self.evidence[cells(p, fresh)] for p in self.pairs], 0).tolist()))
+        x = np.array([features(np.array([known[w] for w in d])) for d in own])
+        return 1 / (1 + np.exp(-np.clip((x * self.weights).sum(1), -30, 30)))  # the same number whatever else is in the batch
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -168,7 +195,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> Model:
     """Learns from labelled documents whose crc32(id as text) modulo folds isn't 0. Null labels, ids and texts are not learnt from.
 
-    Several labels of one id count as toxic if any is; of several texts of one id the smallest is taken. Without four documents of
+    Several labels of one id count as toxic if any is; of several texts of one id the smallest is taken. Without FOLDS documents of
     each class the model scores everything 0.
     """
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of("id", folds) != 0))
@@ -196,9 +223,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def make():
         own = sent.value
+        known = own.__dict__.setdefault("known", {})  # a worker keeps the model, and with it what it has met, for its later tasks
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            got = own.scores(raw(part, "text"))
+            got = own.scores(raw(part, "text"), known)
             return pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
         return run
