@@ -1,4 +1,5 @@
 import re
+import time
 
 from tilewright.llm import licenses
 
@@ -46,3 +47,14 @@ def test_any_number_of_templates(spark):
     for templates, want in ((one, [("ab", 0), ("ab", 3)]), (many, [("ab", 0), ("ab", 3), ("single", 2)]), ((), [])):
         got = {r.doc_id: sorted((m.label, m.start) for m in r.matches) for r in licenses.scan(df, templates).collect()}
         assert got == {1: want, 2: [], 3: []}
+
+
+def test_many_notices_in_one_text(spark):
+    """Work in proportion to the hits: two million bytes of repeated notices are seconds, not hours."""
+    n = 50_000
+    df = spark.createDataFrame([(1, "gnu general public license version 2 " * n), (2, "Apache License, " * n)], "doc_id bigint, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in licenses.digest_columns(licenses.scan(df)).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels) == (n, 0, 6 * (n - 1), "gpl,gpl-2")
+    assert (got[2].n_base, got[2].last_word, got[2].base_labels) == (n, 2 * (n - 1), "apache")
+    assert time.time() - began < 60

@@ -57,6 +57,11 @@ TEMPLATES = (
 )
 #: Words by which a template is indexed.
 RARE = 2
+#: How many of these numbers a template has.
+_ONE = RARE * (RARE + 1)
+#: Places of words are below this.
+PLACE_BITS = 32
+PLACES = 1 << PLACE_BITS
 #: What a document scores by rare words alone, without a verified phrase, at most.
 UNVERIFIED = 0.5
 
@@ -122,18 +127,20 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, counts: d
         posted = F.flatten(F.transform(hits, lambda x: F.transform(F.try_element_at(looked, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["k"] - p["at"]).alias("start"), p["r"].alias("r"), p["n"].alias("n")))))
 
         def placed(ps: Column) -> Column:
-            of = lambda r, n: F.transform(F.filter(ps, lambda p: (p["r"] == r) & n(p["n"])), lambda p: F.struct(p["t"].alias("t"), p["start"].alias("start")))
+            # a template and a start are one number: numbers are intersected by hash, structs by comparing all with all
+            of = lambda r, n: F.transform(F.filter(ps, lambda p: (p["r"] == r) & n(p["n"]) & (p["start"] >= 0)), lambda p: p["t"].cast("bigint") * PLACES + p["start"])
             starts = of(0, lambda n: n == 1)
             for n in range(2, RARE + 1):
                 both = of(0, lambda x, n=n: x == n)
                 for r in range(1, n):
                     both = F.array_intersect(both, of(r, lambda x, n=n: x == n))
                 starts = F.concat(starts, both)
-            phrase = lambda s: F.element_at(phrases, s["t"] + 1)
-            whole = F.filter(starts, lambda s: (s["start"] >= 0) & (F.slice(t, F.greatest(s["start"] + 1, F.lit(1)), F.size(phrase(s))) == phrase(s)))
-            matches = F.transform(whole, lambda s: F.struct(F.element_at(labels, s["t"] + 1).alias("label"), F.element_at(bases, s["t"] + 1).alias("base"), s["start"].cast("bigint").alias("start")))
-            present = F.array_distinct(F.transform(ps, lambda p: F.struct(p["t"].alias("t"), p["r"].alias("r"), p["n"].alias("n"))))
-            best = _let(present, lambda own: F.array_max(F.transform(own, lambda p: F.size(F.filter(own, lambda q: q["t"] == p["t"])) / p["n"])))
+            of_template = lambda array, s: F.element_at(array, F.shiftright(s, PLACE_BITS).cast("int") + 1)
+            start = lambda s: s.bitwiseAND(F.lit(PLACES - 1))
+            whole = F.filter(starts, lambda s: F.slice(t, (start(s) + 1).cast("int"), F.size(of_template(phrases, s))) == of_template(phrases, s))
+            matches = F.transform(whole, lambda s: F.struct(of_template(labels, s).alias("label"), of_template(bases, s).alias("base"), start(s).alias("start")))
+            present = F.array_distinct(F.transform(ps, lambda p: (p["t"] * RARE + p["r"]) * (RARE + 1) + p["n"]))
+            best = _let(present, lambda own: F.array_max(F.transform(own, lambda p: F.size(F.filter(own, lambda q: F.floor(q / _ONE) == F.floor(p / _ONE))) / (p % (RARE + 1)))))
             return F.struct(matches.alias("matches"), F.coalesce(best, F.lit(0.0)).alias("best"))
 
         return F.struct(n_words, F.when(F.exists(t, lambda w: w.isin(keys)), _let(posted, placed)).otherwise(none).alias("found"))
