@@ -75,3 +75,13 @@ def test_codewords_as_by_pairs():
         codes = [langid.np.random.default_rng(seed).choice([-1, 1], (n, bits)) for seed in range(50)]
         least = [min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) for c in codes]
         assert (langid.codewords(n) == codes[int(langid.np.argmax(least))]).all()
+
+
+def test_two_thousand_languages(spark):
+    """Plans don't get deeper with the number of languages, and none is left out."""
+    rows = [(j * 10_000 + k, f"{chr(97 + k % 26) * 3} {chr(97 + k // 26 % 26) * 3} x{k} some text", f"l{k:04}") for k in range(2000) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    want = {r[2] for r in rows if py_fold(r[0], 4) != 2}
+    chosen, sizes = langid.hashed_sample(docs.where((langid.fold_of("doc_id", 4) != 2)), "doc_id", "lang", dict.fromkeys(want, 5))
+    assert set(chosen) == set(sizes) == want
+    assert langid.fit(docs).languages == sorted(want)

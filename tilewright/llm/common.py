@@ -82,15 +82,15 @@ def hashed_sample(rows: DataFrame, id_col: str, group: str, want: dict[Any, int]
     Rows are first thinned to hashes below a threshold that leaves about half as many ids again as are wanted, so what tasks
     hand on together is bounded however many partitions there are. Null ids and groups outside `want` are left out.
     """
-    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(group).alias("g")).where(F.col("id").isNotNull() & F.col("g").isin(*want))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).collect()
+    spark, hashed = rows.sparkSession, F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(group).alias("g")).where(F.col("id").isNotNull())
+    kind = rows.schema["g"].dataType.simpleString()
+    wanted = F.broadcast(spark.createDataFrame([(g,) for g in want], f"g {kind}"))
+    sizes = rows.join(wanted, "g").groupBy("g").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).collect()
     if not sizes:
         return {}, {}
-    below = F.lit(0.0)
-    for r in sizes:
-        below = F.when(F.col("g") == F.lit(r.g), F.lit((1.5 * want[r.g] + 50) / max(1, r.ids) * (1 << 32))).otherwise(below)
-    few = rows.select("g", "id", hashed.alias("h")).where(F.col("h") < below).distinct().collect()
+    limits = F.broadcast(spark.createDataFrame([(r.g, (1.5 * want[r.g] + 50) / max(1, r.ids) * (1 << 32)) for r in sizes], f"g {kind}, below double"))
+    few = rows.join(limits, "g").select("g", "id", hashed.alias("h"), "below").where(F.col("h") < F.col("below")).select("g", "id", "h").distinct().collect()
     chosen: dict[Any, list] = {}
     for r in sorted(few, key=lambda r: (r.h, r.id)):
         own = chosen.setdefault(r.g, [])
