@@ -1,10 +1,12 @@
-"""Representatives of clusters: the only window, a column majority, or the first longest window."""
+"""Representatives of clusters: the only window, a majority of aligned columns or of places, or the first longest window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import alignment
+
 #: Clusters of up to this many windows get a column majority, larger ones their first longest window.
 ALIGNED = 10
 
@@ -22,10 +24,15 @@ def column_majority(members: DataFrame, key: str, seq_col: str = "sequence") ->
 
 
 def representatives(members: DataFrame, key: str = "cluster_no", mode: str = "majority") -> DataFrame:
-    """(key, sequence, num_windows). members: key, window_idx, sequence. mode "first" takes the first longest window always."""
+    """(key, sequence, num_windows). members: key, window_idx, sequence.
+
+    mode "aligned" votes over the columns of an alignment, "majority" over places from the left, as equally long windows of one cut
+    are aligned; both for clusters of up to ALIGNED windows. "first" takes the first longest window always.
+    """
     sizes = members.groupBy(key).agg(F.count("*").alias("num_windows"), F.max_by("sequence", F.struct(F.length("sequence"), -F.col("window_idx"))).alias("longest"))
     if mode == "first":
         return sizes.select(key, F.col("longest").alias("sequence"), "num_windows")
     few = sizes.where(F.col("num_windows").between(2, ALIGNED)).select(key)
-    voted = column_majority(members.join(few, key, "left_semi"), key).withColumnRenamed("sequence", "voted")
-    return sizes.join(voted, key, "left").select(key, F.coalesce("voted", "longest").alias("sequence"), "num_windows")
+    voted = alignment.consensus(members.join(few, key, "left_semi"), key, mode == "aligned").select(key, F.col("sequence").alias("voted"))
+    # nothing but N in all windows: the longest one stands, as where there is no vote
+    return sizes.join(voted, key, "left").select(key, F.when(F.length("voted") > 0, F.col("voted")).otherwise(F.col("longest")).alias("sequence"), "num_windows")

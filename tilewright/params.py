@@ -17,7 +17,7 @@ class Design:
     min_amplicon: int = 400
     max_amplicon: int = 600
     min_cluster: int = 1
-    consensus: str = "majority"  # or "first"
+    consensus: str = "aligned"  # or "majority", "first"
 
 
 @dataclass(frozen=True)

@@ -151,6 +151,26 @@ def consensus_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cluster_no", "num_windows", F.md5("sequence").alias("seq_md5"))
 
 
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one prefix are a cluster; each is cut a few bases later than the one before, and has a base changed or lost here
+    and there, all by its id. window_idx, cluster_no, sequence."""
+    own = loci(spark, sf_dir).where(F.col("length") >= 400)
+    rows = own.select(F.col("locus_ord").alias("window_idx"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("copy"), "sequence")
+    cut = F.substring("sequence", F.col("copy") * 7 + 1, F.lit(300))
+    at = F.pmod(F.xxhash64("window_idx", "copy"), F.lit(250)).cast("int")
+    # the third copy lacks a base, the others have one replaced
+    edited = F.concat(F.substring(cut, F.lit(1), at), F.when(F.col("copy") == 3, "").otherwise("A"), F.substring(cut, at + 2, F.lit(300)))
+    return rows.select((F.col("window_idx") * 5 + F.col("copy")).alias("window_idx"), F.col("window_idx").alias("cluster_no"), edited.alias("sequence"))
+
+
+@query()
+def consensus_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus of five shifted, edited pieces of every locus: aligned, it is the locus' own sequence but for places where
+    pieces disagree."""
+    found = consensus.representatives(shifted(spark, sf_dir), mode="aligned")
+    return found.select("cluster_no", "num_windows", F.length("sequence").alias("bases"), F.md5("sequence").alias("seq_md5"))
+
+
 def _tiles_sql(source: str) -> str:
     step, reach = P.amplicon - P.overlap, P.amplicon + 200
     return f"""SELECT *, (rs // {step} + 1)::INT AS amp_num, least(rs + {reach}, n)::INT AS re FROM (SELECT *, length(sequence) AS n, unnest(range(0, length(sequence), {step}))::INT AS rs FROM {source}) WHERE least(rs + {reach}, n) - rs >= {P.min_amplicon}"""
