@@ -38,7 +38,7 @@ def worth(counts, members, seq, path):
 
 @pytest.mark.parametrize("band", [1, 3, 32])
 def test_as_by_full_dynamic_programming(band):
-    rng = random.Random(band)
+    rng, jobs, alone = random.Random(band), [], []
     for _ in range(150):
         base = [rng.choice("ACGT") for _ in range(rng.randrange(0, 40))]
         texts = []
@@ -49,21 +49,26 @@ def test_as_by_full_dynamic_programming(band):
                     at = rng.randrange(len(own))
                     own = own[:at] + rng.choice([[], ["N"], [rng.choice("ACGT")], [own[at], "A"]]) + own[at + 1 :]
             texts.append("".join(own))
-        counts, members = alignment.columns(texts[:-1], band), len(texts) - 1
+        counts, members = alignment.columns([texts[:-1]], band)[0], len(texts) - 1
         seq = alignment.encode(texts[-1])
-        total, path = alignment._lay(counts, members, seq, 0, len(counts) + seq.size + 1)[:2]
+        job = alignment.Job(counts, members, seq)
+        [(total, path, _)] = alignment._lay([job], [0], len(counts) + seq.size + 1)
         assert total == full(counts, members, seq) == worth(counts, members, seq, path)
         assert [c for c, _ in path if c >= 0] == list(range(len(counts))) and [p for _, p in path if p >= 0] == list(range(seq.size))
-        inside, walked = alignment.lay(counts, members, seq, band)
+        jobs.append((job, total))
+        inside, walked = alignment.lay([job], band)[0]
         assert inside == worth(counts, members, seq, walked) <= total
+        alone.append((inside, walked))
+    # jobs of all sizes that advance together go the ways they go alone
+    assert alignment.lay([j for j, _ in jobs], band) == alone
 
 
 def test_the_band_widens_until_the_path_lies_inside():
     rng = random.Random(2)
     base = "".join(rng.choice("ACGT") for _ in range(300))
     gone = base[:100] + base[160:]  # 60 bases lost: beyond a band of 8
-    counts, seq = alignment.columns([base]), alignment.encode(gone)
-    assert alignment.lay(counts, 1, seq, 8)[0] == full(counts, 1, seq)
+    counts, seq = alignment.columns([[base]])[0], alignment.encode(gone)
+    assert alignment.lay([alignment.Job(counts, 1, seq)], 8)[0][0] == full(counts, 1, seq)
 
 
 def test_shifted_windows_vote_in_step(spark):
@@ -92,7 +97,7 @@ def test_query_against_the_loci(spark):
     """Every consensus has the locus' own 328 bases but where pieces disagree."""
     got = queries.QUERIES["consensus_aligned"](spark, SF)
     rows = queries.shifted(spark, SF).groupBy("cluster_no").agg(F.sort_array(F.collect_list(F.struct("window_idx", "sequence"))).alias("m")).collect()
-    want = {r.cluster_no: alignment.vote(alignment.columns([x.sequence for x in r.m])) for r in rows}
+    want = {r.cluster_no: alignment.vote(alignment.columns([[x.sequence for x in r.m]])[0]) for r in rows}
     import hashlib
 
     assert {r.cluster_no: r.seq_md5 for r in got.collect()} == {k: hashlib.md5(s.encode()).hexdigest() for k, s in want.items()}

@@ -11,15 +11,20 @@ the path is sought again, until it lies inside or the band holds every cell.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 MATCH, MISMATCH, GAP = 2, 3, 5
 #: Cells on either side of the diagonal at first, and bases of a seed.
 BAND, SEED = 32, 12
+#: Clusters that are aligned together.
+TOGETHER = 64
 BASES = b"ACGT"
 CODES = np.full(256, 4, np.uint8)
 CODES[np.frombuffer(BASES, np.uint8)] = range(4)
@@ -50,48 +55,66 @@ def diagonal(columns: np.ndarray, seq: np.ndarray) -> int:
     return int(shifts[np.lexsort((np.abs(shifts), -n))[0]])
 
 
-def _lay(counts: np.ndarray, members: int, seq: np.ndarray, shift: int, band: int) -> tuple[int, list[tuple[int, int]], bool]:
-    """(score, path, whether the band's edge was touched). Row i of the band holds the columns i + shift - band to i + shift + band.
+class Job(NamedTuple):
+    """A sequence to be laid on columns; members: over how many sequences they count."""
+
+    counts: np.ndarray
+    members: int
+    seq: np.ndarray
+
+
+def _lay(jobs: list[Job], shifts: list[int], band: int) -> list[tuple[int, list[tuple[int, int]], bool]]:
+    """Per job: score, path, whether the band's edge was touched. All jobs advance together, a place at a time.
 
-    The path lists (column, place) from left to right; -1 stands for none.
+    Row i of a band holds the columns i + shift - band to i + shift + band. A path lists (column, place) from left to right; -1
+    stands for none.
     """
-    n, m, width = seq.size, len(counts), 2 * band + 1
-    present = counts.sum(1)
-    # what each base scores in each column; N scores nothing
-    score = np.concatenate([MATCH * counts - MISMATCH * (present[:, None] - counts), np.zeros((m, 1), np.int64)], 1) if m else np.zeros((0, 5), np.int64)
-    skip, insert = GAP * present, GAP * members
-    passed = np.append(0, np.cumsum(skip))  # what leaving out all columns before this one costs
-    offsets = np.arange(width) + shift - band
-    came = np.zeros((n + 1, width), np.int8)  # 0 start, 1 both, 2 place without a column, 3 column without a place
-    columns = offsets  # of row 0: places used so far
-    row = np.where((columns >= 0) & (columns <= m), 0, LOW)
-    best = (int(row[np.flatnonzero(columns == m)[0]]) if (columns == m).any() else LOW, 0, m)
-    for i in range(1, n + 1):
+    n, m = (np.array([len(x) for x in y])[:, None] for y in ([j.seq for j in jobs], [j.counts for j in jobs]))
+    most, wide, width, all_jobs = int(n.max()), int(m.max()), 2 * band + 1, np.arange(len(jobs))[:, None]
+    score, passed, places_of = np.zeros((len(jobs), wide + 1, 5), np.int64), np.zeros((len(jobs), wide + 1), np.int64), np.full((len(jobs), most), 4)
+    for k, (counts, _, seq) in enumerate(jobs):
+        present = counts.sum(1)
+        score[k, 1 : len(counts) + 1, :4] = MATCH * counts - MISMATCH * (present[:, None] - counts)  # N scores nothing
+        passed[k, 1 : len(counts) + 1] = np.cumsum(GAP * present)  # what leaving out all columns up to this one costs
+        places_of[k, : seq.size] = seq
+    insert = GAP * np.array([j.members for j in jobs])[:, None]
+    offsets = np.arange(width) + np.array(shifts)[:, None] - band
+    came = np.zeros((most + 1, len(jobs), width), np.int8)  # 0 start, 1 both, 2 place without a column, 3 column without a place
+    row = np.where((offsets >= 0) & (offsets <= m), 0, LOW)
+    final = np.where(n == 0, row, LOW)
+    # places behind the last column are free: the best cell of that column, and its row
+    last_column = np.full((most + 1, len(jobs)), LOW)
+    cell_of = lambda row, i: np.where((0 <= (at := m[:, 0] - i - np.array(shifts) + band)) & (at < width), row[all_jobs[:, 0], np.clip(at, 0, width - 1)], LOW)
+    last_column[0] = cell_of(row, 0)
+    edge = np.full((len(jobs), 1), LOW)
+    for i in range(1, most + 1):
         columns = offsets + i
-        inside = (columns >= 0) & (columns <= m)
-        both = np.where(inside & (columns >= 1), row + score[np.clip(columns - 1, 0, max(0, m - 1)), seq[i - 1]] if m else LOW, LOW)
-        above = np.append(row[1:], LOW) - insert
-        cell = np.maximum(both, above)
-        start = columns == 0
-        cell[start] = 0  # places before the first column are free
-        own = np.where(inside, cell, LOW)
+        inside, at = (columns >= 0) & (columns <= m), np.clip(columns, 0, wide)
+        both = np.where(columns >= 1, row + score[all_jobs, at, places_of[:, i - 1 : i]], LOW)
+        above = np.concatenate([row[:, 1:], edge], 1) - insert
+        start = columns == 0  # places before the first column are free
+        own = np.where(inside, np.where(start, 0, np.maximum(both, above)), LOW)
         # columns without a place: a running maximum, what has been passed taken off
-        paid = passed[np.clip(columns, 0, m)]
-        run = np.maximum.accumulate(own + paid) - paid
-        row = np.where(inside, np.maximum(own, run), LOW)
+        paid = passed[all_jobs, at]
+        row = np.where(inside, np.maximum(np.maximum.accumulate(own + paid, 1) - paid, own), LOW)
         came[i] = np.where(row > own, 3, np.where(start, 0, np.where(both >= above, 1, 2)))
-        if (at := m - i - shift + band) in range(width) and row[at] > best[0]:
-            best = (int(row[at]), i, m)  # places behind the last column are free
-    last = n + offsets
-    ends = np.where((last >= 0) & (last <= m), row, LOW)
-    if (k := int(np.argmax(ends))) is not None and ends[k] > best[0]:
-        best = (int(ends[k]), n, int(last[k]))  # columns behind the last place are free
-    total, i, j = best
+        last_column[i] = np.where(i <= n[:, 0], cell_of(row, i), LOW)
+        ends = n[:, 0] == i
+        if ends.any():
+            final[ends] = row[ends]
+    return [_walk(k, int(n[k, 0]), int(m[k, 0]), shifts[k], band, came[:, k], last_column[:, k], final[k]) for k in range(len(jobs))]
+
+
+def _walk(job: int, n: int, m: int, shift: int, band: int, came: np.ndarray, last_column: np.ndarray, final: np.ndarray) -> tuple[int, list[tuple[int, int]], bool]:
+    i, k = int(np.argmax(last_column[: n + 1])), int(np.argmax(final))
+    total, i, j = (int(last_column[i]), i, m) if last_column[i] >= final[k] else (int(final[k]), n, n + shift - band + k)
+    if total <= LOW // 2:
+        return total, [], True
     path = [(-1, p) for p in range(n - 1, i - 1, -1)] + [(c, -1) for c in range(m - 1, j - 1, -1)]
     touched = False
     while i > 0 and j > 0:
         k = j - i - shift + band
-        touched |= k in (0, width - 1)
+        touched |= k in (0, 2 * band)
         step = came[i, k]
         if step == 1:
             i, j = i - 1, j - 1
@@ -106,36 +129,43 @@ def _lay(counts: np.ndarray, members: int, seq: np.ndarray, shift: int, band: in
     return total, path[::-1], touched
 
 
-def lay(counts: np.ndarray, members: int, seq: np.ndarray, band: int = BAND) -> tuple[int, list[tuple[int, int]]]:
-    """The best score of a sequence on columns (counts of A, C, G, T by column, over `members` sequences), and its path."""
-    shift = diagonal(np.where(counts.any(1), counts.argmax(1), 4), seq) if len(counts) else 0
-    while True:
-        total, path, touched = _lay(counts, members, seq, shift, band)
-        whole = band >= abs(shift) + len(counts) + seq.size
-        if whole or not touched and total > LOW // 2:
-            return total, path
-        band *= 2
-
-
-def columns(sequences: list[str], band: int = BAND) -> np.ndarray:
-    """Counts of A, C, G, T by column of the aligned sequences, which are laid down in the given order."""
-    counts = np.zeros((0, 4), np.int64)
-    for k, text in enumerate(sequences):
-        seq = encode(text)
-        base = np.zeros((seq.size, 4), np.int64)
-        known = seq < 4
-        base[np.flatnonzero(known), seq[known]] = 1
-        if not k:
-            counts = base
-            continue
-        _, path = lay(counts, k, seq, band)
-        at = np.array(path, np.int64).reshape(-1, 2)
-        merged = np.zeros((len(at), 4), np.int64)
-        old, new = at[:, 0] >= 0, at[:, 1] >= 0
-        merged[old] += counts[at[old, 0]]
-        merged[new] += base[at[new, 1]]
-        counts = merged
-    return counts
+def lay(jobs: list[Job], band: int = BAND) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The best score and path of each sequence on its columns. Those whose path touches the band's edge are laid again in a wider band."""
+    shifts = [diagonal(np.where(j.counts.any(1), j.counts.argmax(1), 4), j.seq) if len(j.counts) else 0 for j in jobs]
+    found: list = [None] * len(jobs)
+    left = list(range(len(jobs)))
+    while left:
+        again = []
+        for k, (total, path, touched) in zip(left, _lay([jobs[k] for k in left], [shifts[k] for k in left], band)):
+            whole = band >= abs(shifts[k]) + len(jobs[k].counts) + jobs[k].seq.size
+            if touched and not whole:
+                again.append(k)
+            else:
+                found[k] = total, path
+        left, band = again, band * 2
+    return found
+
+
+def columns(clusters: list[list[str]], band: int = BAND) -> list[np.ndarray]:
+    """Per cluster, counts of A, C, G, T by column of its aligned sequences, which are laid down in the given order. The clusters'
+    second sequences are laid down together, then their third ones, and so on."""
+    out = [_bases(encode(c[0])) if c else np.zeros((0, 4), np.int64) for c in clusters]
+    for k in range(1, max(map(len, clusters), default=0)):
+        own = [c for c, texts in enumerate(clusters) if len(texts) > k]
+        jobs = [Job(out[c], k, encode(clusters[c][k])) for c in own]
+        for c, job, (_, path) in zip(own, jobs, lay(jobs, band)):
+            at = np.array(path, np.int64).reshape(-1, 2)
+            merged = np.zeros((len(at), 4), np.int64)
+            old, new = at[:, 0] >= 0, at[:, 1] >= 0
+            merged[old] += job.counts[at[old, 0]]
+            merged[new] += _bases(job.seq)[at[new, 1]]
+            out[c] = merged
+    return out
+
+
+def _bases(seq: np.ndarray) -> np.ndarray:
+    """One row a place, 1 under its base."""
+    return (seq[:, None] == np.arange(4)).astype(np.int64)
 
 
 def vote(counts: np.ndarray) -> str:
@@ -157,15 +187,21 @@ def places(sequences: list[str]) -> np.ndarray:
 
 
 def consensus(members: DataFrame, key: str, aligned: bool, order: str = "window_idx", seq_col: str = "sequence") -> DataFrame:
-    """(key, sequence): the voted sequence of each key's members, laid down by `order`. A key's members meet in one group, so keys
-    with any number of them must be left out before."""
-
-    def run(group: pa.Table) -> pa.Table:
-        own = group.sort_by([(order, "ascending")])
-        texts = [t or "" for t in own[seq_col].to_pylist()]
-        return pa.table([own[key].slice(0, 1), pa.array([vote(columns(texts) if aligned else places(texts))])], schema)
+    """(key, sequence): the voted sequence of each key's members, laid down by `order`.
 
+    A key's members meet in one group, so keys with any number of them must be left out before. About TOGETHER keys make a group.
+    """
     source = members.select(key, order, seq_col)
     out = T.StructType([source.schema[key], T.StructField("sequence", T.StringType())])
     schema = to_arrow_schema(out)
-    return source.groupBy(key).applyInArrow(run, out)
+    groups = max(1, -(-source.select(key).distinct().count() // TOGETHER))
+
+    def run(group: pa.Table) -> pa.Table:
+        own = group.sort_by([(key, "ascending"), (order, "ascending")])
+        keys, texts = own[key].to_pylist(), [t or "" for t in own[seq_col].to_pylist()]
+        first = [k for k, x in enumerate(keys) if not k or x != keys[k - 1]]
+        clusters = [texts[a:b] for a, b in zip(first, [*first[1:], len(texts)])]
+        counts = columns(clusters) if aligned else map(places, clusters)
+        return pa.table([own[key].take(pa.array(first, pa.int64())), pa.array([vote(c) for c in counts], pa.string())], schema)
+
+    return source.groupBy(F.pmod(F.xxhash64(key), F.lit(groups))).applyInArrow(run, out)
