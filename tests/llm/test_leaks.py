@@ -5,7 +5,7 @@ import numpy as np
 
 from tilewright.llm import leaks
 
-from .rows import documents, empty
+from .rows import collected, documents, empty
 
 
 def brute(text, items, window=10):
@@ -131,3 +131,29 @@ def test_index_round_trip():
             place += 1
         place += 1
     assert not words
+
+
+def test_fifty_blocks_one_at_a_time(spark, monkeypatch):
+    """As by one block; each block is given up before the next is sent, and the plan is no longer for it."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 3 + j) % 97}" for j in range(30))) for k in range(60)] + [(99, None), (None, "w1 w2 w3")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(f"i{k}", " ".join(f"w{(k + j) % 97}" for j in range(12 if k % 5 else 4))) for k in range(50)], "item_id string, text string")
+    alive, most, plain = [], [], type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        sent = plain(self, value)
+        if isinstance(value, list) and value and isinstance(value[0], tuple):
+            alive.append(sent)
+            most.append(len(alive))
+            gone = sent.destroy
+            sent.destroy = lambda *a, **b: (alive.remove(sent), gone(*a, **b))
+        return sent
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "broadcast", counted)
+        many = leaks.decontaminate(docs, items, limit=80)
+        kept = leaks.clean(docs, items, limit=80)
+    assert len(most) >= 50 and max(most) == 1 and not alive
+    one = leaks.decontaminate(docs, items)
+    assert collected(many, *one.columns) == collected(one, *one.columns)
+    assert collected(kept, "doc_id") == collected(leaks.clean(docs, items), "doc_id")
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Scan") + many._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,9 +275,9 @@ def _names(phrases: Phrases, items: list[set[int]]) -> list[list[str]]:
     return [[phrases.names[k] for k in sorted(x)] for x in items]
 
 
-def _search_block(index: DataFrame, items: list[tuple[str, bytes]], window: int, span: int | None) -> DataFrame:
-    """(shard, place, id, n_words, spans, items, near) of every document."""
-    sent, name = index.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+def _search_block(index: DataFrame, sent: Broadcast, window: int, span: int | None) -> DataFrame:
+    """(shard, place, id, n_words, spans, items, near) of every document. sent: the block's items, broadcast."""
+    name = uuid.uuid4().hex
     kind = index.schema["ids"].dataType.elementType.simpleString()
     strings = pa.list_(pa.string())
 
@@ -295,18 +295,31 @@ def _search_block(index: DataFrame, items: list[tuple[str, bytes]], window: int,
     return index.mapInArrow(run, f"shard bigint, place int, id {kind}, n_words bigint, spans array<string>, items array<string>, near array<string>")
 
 
+def _kept(before: DataFrame | None, one: DataFrame, sent: Broadcast) -> DataFrame:
+    """What a block hit, beside what those before it did, written; the block's items are given up by driver and executors. So neither
+    memory nor the plan nor the number of tasks grows with the number of blocks."""
+    tasks = one.rdd.getNumPartitions()
+    out = durable(one if before is None else before.unionByName(one).coalesce(max(tasks, before.rdd.getNumPartitions())))
+    sent.destroy()
+    return out
+
+
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", limit: int = BLOCK_CHARS, span: int | None = SPAN) -> DataFrame:
     """decontaminate()'s rows from a stored index, with the column `id`."""
+    send = index.sparkSession.sparkContext.broadcast
     if _one_block(benchmark, item_text_col, limit):
         blocks = list(item_blocks(benchmark, item_col, item_text_col, limit))
-        found = _search_block(index, blocks[0] if blocks else [], window, span)
-    else:  # each block tells what it covers; a document's parts are united
-        found = None
+        found = _search_block(index, send(blocks[0] if blocks else []), window, span)
+    else:  # each block tells which documents it hits; a document's parts are united
+        hits = None
         for items in item_blocks(benchmark, item_col, item_text_col, limit):
-            one = _search_block(index, items, window, span)
-            found = one if found is None else found.unionByName(one)
+            one = _search_block(index, sent := send(items), window, span).where("size(items) > 0 OR size(near) > 0").drop("id", "n_words")
+            hits = _kept(hits, one, sent)
         united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        found = found.groupBy("shard", "place", "id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), united("items"), united("near"))
+        hits = hits.groupBy("shard", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), united("items"), united("near"))
+        every = _search_block(index, send([]), window, None).select("shard", "place", "id", "n_words")
+        none = F.array().cast("array<string>")
+        found = every.join(hits, ["shard", "place"], "left").withColumns({c: F.coalesce(c, none) for c in ("spans", "items", "near")})
     spans = F.array_sort(F.transform(F.array_distinct("spans"), lambda x: F.struct(F.split(x, ":")[0].cast("bigint").alias("a"), F.split(x, ":")[1].cast("bigint").alias("b"))))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
     merged = F.aggregate(spans, zero, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("bigint"), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to")))
@@ -330,8 +343,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     """The rows of docs, all columns, without those that hold a benchmark window. Null texts hold none; repeated rows stay or go
     together; an empty table or benchmark changes nothing. Each task indexes its own rows and needs the index no further.
 
-    A benchmark beyond one block makes one pass a block, which keeps the digests of the texts that it hits; rows with such a text
-    go. Neither the passes' memory nor what they keep grows with the number of blocks beyond the hits.
+    A benchmark beyond one block makes one pass a block, which writes the digests of the texts that it hits before the next begins; rows
+    with such a text go. One block is in memory at a time.
     """
     if not _one_block(benchmark, "text", limit):
         return _clean_blocks(docs, item_blocks(benchmark, "item_id", "text", limit), text_col, window)
@@ -366,5 +379,5 @@ def _clean_blocks(docs: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], te
             return run
 
         one = map_steps(docs.select(docs[text_col].alias("text")), "text", make, f"{column} string", SHARD_BYTES)
-        hit = one if hit is None else hit.unionByName(one)
+        hit = _kept(hit, one.distinct(), sent)
     return docs.join(hit.distinct(), F.sha2(docs[text_col].cast("binary"), 256) == F.col(column), "left_anti")
