@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster that is an error,
-    since other machines couldn't read it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's spark.checkpoint.dir, or the folder that the context was given for checkpoints. Where both are unset, a local session
+    gets a temporary folder; on a cluster that is an error, since other machines couldn't read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (folder or tempfile.mkdtemp(prefix="tilewright-")).rstrip("/")
