@@ -136,7 +136,7 @@ def test_index_round_trip():
 def test_fifty_blocks_one_at_a_time(spark, monkeypatch):
     """As by one block; each block is given up before the next is sent, and the plan is no longer for it."""
     docs = spark.createDataFrame([(k, " ".join(f"w{(k * 3 + j) % 97}" for j in range(30))) for k in range(60)] + [(99, None), (None, "w1 w2 w3")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(f"i{k}", " ".join(f"w{(k + j) % 97}" for j in range(12 if k % 5 else 4))) for k in range(50)], "item_id string, text string")
+    items = spark.createDataFrame([(f"i{k}", " ".join(f"w{(k + j) % 97}" for j in range(12 if k % 5 else 4))) for k in range(70)], "item_id string, text string")
     alive, most, plain = [], [], type(spark.sparkContext).broadcast
 
     def counted(self, value):
