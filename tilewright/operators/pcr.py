@@ -2,78 +2,124 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, COMPLEMENT
+from .graph import durable
 
 #: Primers that are sent to the executors at once; a larger table goes in as many rounds as it needs.
 BLOCK_PRIMERS = 50_000
+#: Bases of a seed.
+LEAST_SEED, MOST_SEED = 4, 8
+#: Bases that are searched together, and cells that are compared together.
+TOGETHER, CELLS = 1 << 20, 8_000_000
 _MAP = str.maketrans(BASES, COMPLEMENT)
 
 
 class Probes:
-    """Probe sequences indexed by exact seeds: a site with at most m mismatches holds one of m + 1 disjoint pieces unchanged."""
+    """Probe sequences indexed by exact seeds: a site with at most m mismatches holds one of m + 1 disjoint pieces unchanged.
+
+    Many loci are searched together: their bases stand in one array, so a step of the search is one operation over all of them.
+    """
 
     def __init__(self, probes: list[str], max_mismatches: int):
-        self.probes = [np.frombuffer(p.encode(), np.uint8) for p in probes]
+        self.probes = [np.frombuffer(p.encode("ascii", "replace"), np.uint8) for p in probes]
+        self.sizes = np.array([p.size for p in self.probes], np.int64)
         self.limit = max_mismatches
-        seeds: dict[int, list[tuple[int, int, bytes]]] = {}
-        self.scanned = []  # probes too short for seeds of 4 bases
-        for n, p in enumerate(self.probes):
-            size = p.size // (max_mismatches + 1)
-            if size < 4:
-                self.scanned.append(n)
-                continue
-            size = min(size, 8)
-            for k in range(max_mismatches + 1):
-                at = k * (p.size // (max_mismatches + 1))
-                seeds.setdefault(size, []).append((n, at, p[at : at + size].tobytes()))
+        self.reach = int(self.sizes.max(initial=1))
+        pieces = self.sizes // (max_mismatches + 1)
+        self.scanned = np.flatnonzero((pieces < LEAST_SEED) & (self.sizes > 0)).tolist()  # too short for seeds
         self.seeds = {}
-        for size, rows in seeds.items():
-            codes = np.array([int.from_bytes(s, "big") for _, _, s in rows], np.uint64)
+        for size in np.unique(np.minimum(pieces, MOST_SEED)):
+            own = np.flatnonzero(np.minimum(pieces, MOST_SEED) == size)
+            if size < LEAST_SEED:
+                continue
+            at = np.arange(max_mismatches + 1) * pieces[own][:, None]
+            codes = np.array([[int.from_bytes(self.probes[n][x : x + size].tobytes(), "big") for x in row] for n, row in zip(own, at)], np.uint64).ravel()
             order = np.argsort(codes, kind="stable")
-            self.seeds[size] = (codes[order], np.array([n for n, _, _ in rows])[order], np.array([a for _, a, _ in rows])[order])
+            known, first = np.unique(codes[order], return_index=True)
+            likely = np.zeros(1 << 16, bool)
+            likely[self._mix(known)] = True
+            owner = np.repeat(own, max_mismatches + 1)[order]
+            self.seeds[int(size)] = known, np.append(first, owner.size), owner, at.ravel()[order], likely
+        # all probes of a length as one matrix, and each probe's row in it
+        self.rows = np.zeros(len(probes), np.int64)
+        self.matrix = {}
+        for size in np.unique(self.sizes):
+            own = np.flatnonzero(self.sizes == size)
+            self.rows[own] = np.arange(own.size)
+            self.matrix[int(size)] = np.array([self.probes[n] for n in own], np.uint8).reshape(own.size, size)
+
+    @staticmethod
+    def _mix(codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
     def best(self, seq: str) -> dict[int, tuple[int, int]]:
-        """probe -> (mismatches, position): fewest mismatches, then leftmost; probes without a site within the limit are absent."""
-        data = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
-        found: dict[int, tuple[int, int]] = {}
-        for size, (codes, owner, at) in self.seeds.items():
+        """probe -> (mismatches, position) in one locus."""
+        _, probe, wrong, start = self.search([seq])
+        return {p: (m, s) for p, m, s in zip(probe.tolist(), wrong.tolist(), start.tolist())}
+
+    def search(self, loci: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(locus, probe, mismatches, position), ascending: fewest mismatches, then leftmost; no row without a site within the limit."""
+        found = []
+        pieces, held = [], 0
+        for k, text in enumerate(loci):
+            own = text.encode("ascii", "replace")
+            for at in range(0, max(1, len(own) - self.reach + 1), TOGETHER):  # a long locus goes in pieces that overlap
+                part = own[at : at + TOGETHER + self.reach - 1]
+                pieces.append((k, at, part))
+                held += len(part)
+                if held >= TOGETHER:
+                    found.append(self._sites(pieces))
+                    pieces, held = [], 0
+        if pieces:
+            found.append(self._sites(pieces))
+        rows = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        return tuple(rows[:, np.append(True, np.diff(rows[0]) | np.diff(rows[1])).astype(bool)[: rows.shape[1]]])
+
+    def _sites(self, pieces: list[tuple[int, int, bytes]]) -> np.ndarray:
+        """Rows of (locus, probe, mismatches, position) of all sites within the limit that stand in the pieces."""
+        data = np.frombuffer(b"\0".join([x[2] for x in pieces]) + b"\0", np.uint8)
+        ends = np.cumsum([len(x[2]) + 1 for x in pieces]) - 1
+        begins = np.append(0, ends[:-1] + 1)
+        out = []
+        for size, (known, first, owner, at, likely) in self.seeds.items():
             if data.size < size:
                 continue
             here = np.zeros(data.size - size + 1, np.uint64)
             for k in range(size):
                 here = (here << np.uint64(8)) | data[k : k + here.size]
-            low, high = np.searchsorted(codes, here, "left"), np.searchsorted(codes, here, "right")
-            place = np.flatnonzero(high > low)
-            n = (high - low)[place]
-            index = np.repeat(low[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start, probe = np.repeat(place, n) - at[index], owner[index]
-            order = np.argsort(probe, kind="stable")
-            start, probe = start[order], probe[order]
-            for p in np.unique(probe):
-                mine = np.unique(start[np.searchsorted(probe, p, "left") : np.searchsorted(probe, p, "right")])
-                self._test(data, int(p), mine, found)
+            place = np.flatnonzero(likely[self._mix(here)])
+            which = np.minimum(np.searchsorted(known, here[place]), known.size - 1)
+            hit = known[which] == here[place]
+            place, which = place[hit], which[hit]
+            n = first[which + 1] - first[which]
+            index = np.repeat(first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((np.repeat(place, n) - at[index], owner[index]))
         for p in self.scanned:
-            self._test(data, p, np.arange(max(0, data.size - self.probes[p].size + 1)), found)
-        return found
-
-    def _test(self, data: np.ndarray, p: int, starts: np.ndarray, found: dict[int, tuple[int, int]]) -> None:
-        probe = self.probes[p]
-        starts = starts[(starts >= 0) & (starts + probe.size <= data.size)]
-        if not starts.size or not probe.size:
-            return
-        wrong = np.zeros(starts.size, np.int64)
-        for k, c in enumerate(probe):
-            wrong += data[starts + k] != c
-        at = int(np.argmin(wrong))
-        if wrong[at] <= self.limit and (best := (int(wrong[at]), int(starts[at]))) < found.get(p, (self.limit + 1, 0)):
-            found[p] = best
+            out.append((np.arange(data.size), np.full(data.size, p)))
+        start, probe = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        piece = np.searchsorted(ends, start, "right")
+        inside = (start >= 0) & (piece < ends.size)
+        inside[inside] = start[inside] + self.sizes[probe[inside]] <= ends[piece[inside]]
+        inside[inside] &= start[inside] >= begins[piece[inside]]
+        start, probe, piece = start[inside], probe[inside], piece[inside]
+        wrong = np.full(start.size, self.limit + 1)
+        for size, matrix in self.matrix.items():
+            own = np.flatnonzero(self.sizes[probe] == size)
+            for part in np.array_split(own, max(1, -(-own.size * size // CELLS))):
+                wrong[part] = (data[start[part][:, None] + np.arange(size)] != matrix[self.rows[probe[part]]]).sum(1)
+        good = wrong <= self.limit
+        locus, offset = (np.array([x[k] for x in pieces], np.int64)[piece[good]] for k in (0, 1))
+        return np.array([locus, probe[good], wrong[good], start[good] - begins[piece[good]] + offset], np.int64)
 
 
 AMPLICONS = "primer_ord bigint, primer_name string, locus_ord bigint, serotype string, start int, end int, size int, left_mismatches int, right_mismatches int, mismatches int"
@@ -91,27 +137,43 @@ def amplify(loci: DataFrame, primers: DataFrame, max_mismatches: int = 2) -> Dat
     out = None
     for k in range(rounds):
         rows = (known if rounds == 1 else known.where(F.pmod(F.xxhash64("name"), F.lit(rounds)) == k)).orderBy("primer_ord").collect()
-        one = _amplify(loci, [(r.primer_ord, r.name, r.left_seq or "", (r.right_seq or "").translate(_MAP)[::-1]) for r in rows], max_mismatches)
+        sent = loci.sparkSession.sparkContext.broadcast([(r.primer_ord, r.name, r.left_seq or "", (r.right_seq or "").translate(_MAP)[::-1]) for r in rows])
+        one = _amplify(loci, sent, max_mismatches)
+        if rounds > 1:  # a block's amplicons are written before the next block is sent
+            one = durable(one)
+            sent.destroy()
         out = one if out is None else out.unionByName(one)
     return out if out is not None else loci.sparkSession.createDataFrame([], AMPLICONS)
 
 
-def _amplify(loci: DataFrame, primers: list[tuple[int, str, str, str]], limit: int) -> DataFrame:
-    sent = loci.sparkSession.sparkContext.broadcast(primers)
+_built: dict[str, tuple[Probes, Probes]] = {}
+
+
+def _probes(name: str, rows: list[tuple[int, str, str, str]], limit: int) -> tuple[Probes, Probes]:
+    """Built once a worker: workers are used again for later tasks. Only the last ones are kept."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Probes([r[2] for r in rows], limit), Probes([r[3] for r in rows], limit)
+    return _built[name]
+
+
+def _amplify(loci: DataFrame, sent: Broadcast, limit: int) -> DataFrame:
+    name = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sent.value
-        left, right = Probes([r[2] for r in rows], limit), Probes([r[3] for r in rows], limit)
+        left, right = _probes(name, rows, limit)
+        ordinals, names = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], object)
         for df in frames:
-            out = []
-            for ordinal, name, seq in zip(df["locus_ord"], df["serotype"], df["sequence"]):
-                a, b = left.best(seq or ""), right.best(seq or "")
-                for p in a.keys() & b.keys():
-                    (ml, s), (mr, t) = a[p], b[p]
-                    if t > s:
-                        end = t + len(rows[p][3])
-                        out.append((rows[p][0], rows[p][1], ordinal, name, s, end, end - s, ml, mr, ml + mr))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in AMPLICONS.split(", ")])
+            texts = [t or "" for t in df["sequence"]]
+            (la, pa, ma, a), (lb, pb, mb, b) = left.search(texts), right.search(texts)
+            _, x, y = np.intersect1d(la * len(rows) + pa, lb * len(rows) + pb, assume_unique=True, return_indices=True)
+            ahead = b[y] > a[x]
+            x, y = x[ahead], y[ahead]
+            end = b[y] + right.sizes[pb[y]]
+            own = df.iloc[la[x]]
+            columns = (ordinals[pa[x]], names[pa[x]], own["locus_ord"].to_numpy(), own["serotype"].to_numpy(), a[x], end, end - a[x], ma[x], mb[y], ma[x] + mb[y])
+            yield pd.DataFrame(dict(zip([c.split()[0] for c in AMPLICONS.split(", ")], columns)))
 
     return loci.select("locus_ord", "serotype", "sequence").mapInPandas(run, AMPLICONS)
 
