@@ -14,7 +14,7 @@ from ..params import Design, Selection, Simulation
 def design_primers(loci: DataFrame, p: Design = Design()) -> dict[str, DataFrame]:
     """windows, clusters, primers (clusters' and gaps') of loci (locus_ord, serotype, sequence, length)."""
     cut = durable(windows.sliding_windows(loci, p.window, p.step))
-    pairs = similarity.band_pairs(cut, p.k, p.similarity, p.band or max(1, cut.count()))
+    pairs = similarity.band_pairs(cut, p.k, p.similarity, p.band) if p.band else similarity.all_links(cut, p.k, p.similarity)
     member = durable(similarity.clusters(cut, pairs, p.min_cluster))
     summary = similarity.cluster_summary(cut, member)
     template = consensus.representatives(cut.select("window_idx", "sequence").join(member, "window_idx"), "cluster_no", p.consensus)
