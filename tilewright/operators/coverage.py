@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def union(intervals: DataFrame, group: str) -> DataFrame:
+#: Places of a cell. A locus is scanned cell by cell: each cell's rows alone, after a scan of one summary row a cell has told
+#: what comes in from the cells before. So one locus is as many keys as it has cells, and a key has at most CELL starts.
+CELL = 1 << 16
+
+
+def _cell(cell: int) -> Column:
+    return F.floor(F.col("start") / cell)
+
+
+def _carried(rows: DataFrame, group: str, summary: Column, scan: Callable[[Column], Column], name: str, cell: int) -> DataFrame:
+    """rows with _cell and what `scan` makes of the summaries of all cells of the group before the row's own, as column `name`."""
+    placed = rows.withColumn("_cell", _cell(cell))
+    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(group, "_cell").agg(summary.alias("_s")).select(group, "_cell", scan(F.col("_s")).over(before).alias(name))
+    return placed.join(cells, [group, "_cell"])
+
+
+def _reach(rows: DataFrame, group: str, cell: int) -> DataFrame:
+    """rows with `reach`: the furthest end of the rows before, in the order of start and end; null for a group's first row."""
+    by = Window.partitionBy(group, "_cell").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    carried = _carried(rows, group, F.max("end"), F.max, "_reach", cell)
+    return carried.withColumn("reach", F.greatest(F.max("end").over(by), "_reach")).drop("_cell", "_reach")
+
+
+def union(intervals: DataFrame, group: str, cell: int = CELL) -> DataFrame:
     """(group, start, end): maximal runs of covered places. Touching intervals become one; empty ones are left out."""
     own = intervals.where(F.col("end") > F.col("start")).select(group, "start", "end").groupBy(group, "start").agg(F.max("end").alias("end"))
-    by = Window.partitionBy(group).orderBy("start")
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = own.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(group, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+    marked = _reach(own, group, cell).withColumn("_new", F.when(F.col("start") <= F.col("reach"), 0).otherwise(1))
+    numbered = _carried(marked, group, F.sum("_new"), F.sum, "_runs", cell)
+    by = Window.partitionBy(group, "_cell").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum("_new").over(by) + F.coalesce("_runs", F.lit(0))
+    return numbered.withColumn("_run", run).groupBy(group, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
-def gaps(intervals: DataFrame, loci: DataFrame, group: str, least: int) -> DataFrame:
+def gaps(intervals: DataFrame, loci: DataFrame, group: str, least: int, cell: int = CELL) -> DataFrame:
     """(group, gap_start, gap_end): runs of [0, length) that nothing covers, of at least `least` places. loci: group, length."""
-    islands = union(intervals, group).select(group, "start", "end")
+    islands = union(intervals, group, cell).select(group, "start", "end")
     ends = loci.select(group, F.lit(0).alias("start"), F.lit(0).alias("end")).unionByName(loci.select(group, F.col("length").alias("start"), F.col("length").alias("end")))
     rows = islands.join(loci.select(group), group, "left_semi").unionByName(ends)
-    by = Window.partitionBy(group).orderBy("start", "end")
-    found = rows.withColumn("gap_start", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn("gap_end", F.col("start"))
-    return found.where(F.col("gap_end") - F.col("gap_start") >= least).select(group, "gap_start", "gap_end")
+    found = _reach(rows, group, cell).select(group, F.col("reach").alias("gap_start"), F.col("start").alias("gap_end"))
+    return found.where(F.col("gap_end") - F.col("gap_start") >= least)
 
 
 def summary(amplicons: DataFrame, loci: DataFrame, group: str = "serotype") -> DataFrame:
@@ -60,9 +86,10 @@ def top(covered: DataFrame, k: int = 30, group: str = "serotype") -> DataFrame:
     return covered.orderBy(F.desc("coverage_percent"), group).limit(k)
 
 
-def plot_rows(amplicons: DataFrame, loci: DataFrame, group: str = "serotype") -> DataFrame:
+def plot_rows(amplicons: DataFrame, loci: DataFrame, group: str = "serotype", cell: int = CELL) -> DataFrame:
     """What a locus plot draws: level and colour of each amplicon by its place, a label where it is long enough."""
-    k = F.row_number().over(Window.partitionBy(group).orderBy("start", "end", "primer_name")) - 1
-    rows = amplicons.join(loci.select(group, F.col("length").alias("_n")), group).withColumn("_k", k)
+    rows = amplicons.join(loci.select(group, F.col("length").alias("_n")), group)
+    here = F.row_number().over(Window.partitionBy(group, "_cell").orderBy("start", "end", "primer_name")) - 1
+    rows = _carried(rows, group, F.count("*"), F.sum, "_before", cell).withColumn("_k", here + F.coalesce("_before", F.lit(0)))
     label = F.when(F.col("end") - F.col("start") > F.col("_n") * 0.05, F.split_part("gene", F.lit("_"), F.lit(1)))
-    return rows.select(group, "primer_name", "start", "end", (F.col("_k") % 3).alias("level"), (F.col("_k") % 20).alias("colour"), label.alias("label"))
+    return rows.select(group, "primer_name", "start", "end", (F.col("_k") % 3).cast("int").alias("level"), (F.col("_k") % 20).cast("int").alias("colour"), label.alias("label"))
