@@ -12,6 +12,8 @@ calibrate weights and scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ FEATURES = (1 << BITS3) + (1 << BITS2)
 RIDGE = 0.3
 #: Rows whose features are held at once; each has FEATURES counts.
 ROWS = 128
+#: Features that are spread out together in fitting: a divisor of FEATURES.
+COLUMNS = 1024
 #: Rows whose two best scores differ by less are ambiguous.
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
@@ -68,19 +72,53 @@ def codewords(n: int) -> np.ndarray:
     return codes[int(np.argmax(least))]
 
 
+class Rows:
+    """Feature rows of which only the counts above 0 are held; they are spread out COLUMNS features at a time."""
+
+    def __init__(self, at: list[np.ndarray], values: list[np.ndarray]):
+        self.sizes = np.array([a.size for a in at], np.int64)
+        row, column = np.repeat(np.arange(len(at)), self.sizes), np.concatenate([*at, np.zeros(0, np.int32)])
+        order = np.argsort(column, kind="stable")
+        self.row, self.column, self.value = row[order], column[order], np.concatenate([*values, np.zeros(0, np.float32)])[order]
+
+    def __len__(self) -> int:
+        return self.sizes.size
+
+    def _parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        for low in range(0, FEATURES, COLUMNS):
+            a, b = np.searchsorted(self.column, (low, low + COLUMNS))
+            part = np.zeros((len(self), COLUMNS), np.float32)
+            part[self.row[a:b], self.column[a:b] - low] = self.value[a:b]
+            yield low, part
+
+    def products(self) -> np.ndarray:
+        """Of each row with each."""
+        out = np.zeros((len(self), len(self)))
+        for _, part in self._parts():
+            out += part @ part.T
+        return out
+
+    def combined(self, dual: np.ndarray) -> np.ndarray:
+        """The features' coefficients from the rows'."""
+        out = np.zeros((FEATURES, dual.shape[1]), np.float32)
+        for low, part in self._parts():
+            out[low : low + COLUMNS] = part.T @ dual.astype(np.float32)
+        return out
+
+
 class Model:
     """languages, code, weights of the bits, coefficients, sharpness of the score."""
 
-    def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, languages: list[str], x: Rows, y: np.ndarray):
         """x: feature rows; y: index into languages."""
         self.languages = languages
         self.code = codewords(len(languages))
         if not languages:
             return
         targets = self.code[y].astype(np.float64)
-        inverse = np.linalg.inv((x @ x.T).astype(np.float64) + RIDGE * np.eye(len(x)))
+        inverse = np.linalg.inv(x.products() + RIDGE * np.eye(len(x)))
         dual = inverse @ targets
-        self.coefficients = (x.T @ dual.astype(np.float32)).astype(np.float32)
+        self.coefficients = x.combined(dual)
         held = targets - dual / np.diag(inverse)[:, None]  # margins of rows as if they had been left out
         wrong = np.clip((np.sign(held) != targets).mean(0), 0.5 / len(x), 0.499)
         self.weights = np.log((1 - wrong) / wrong)
@@ -120,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     rows = rows.where(F.col("lang").isNotNull() & (fold_of("id", held_out[0]) != held_out[1]))
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
-        return Model([], np.zeros((0, FEATURES)), np.zeros(0, int))
+        return Model([], Rows([], []), np.zeros(0, int))
     each = min(PER_LANGUAGE, max(LEAST, SAMPLE // len(languages)))
     chosen, _ = hashed_sample(rows, "id", "lang", dict.fromkeys(languages, each))
     # at most SAMPLE ids, or LEAST a language, are broadcast
@@ -138,13 +176,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         return run
 
     got = map_steps(sample, "text", make, "lang string, at array<int>, x array<float>", 1 << 20, ROWS).toArrow()
-    order = sorted(range(got.num_rows), key=lambda k: (got["lang"][k].as_py(), got["x"][k].as_py()))[:]
-    x = np.zeros((got.num_rows, FEATURES), np.float32)
-    y = np.zeros(got.num_rows, int)
+    order = sorted(range(got.num_rows), key=lambda k: (got["lang"][k].as_py(), got["x"][k].as_py()))
     known = sorted(set(got["lang"].to_pylist()))
-    for row, k in enumerate(order):
-        x[row, np.asarray(got["at"][k].values)] = np.asarray(got["x"][k].values)
-        y[row] = known.index(got["lang"][k].as_py())
+    y = np.array([known.index(got["lang"][k].as_py()) for k in order], int)
+    x = Rows(*[[np.asarray(got[c][k].values) for k in order] for c in ("at", "x")])
     return Model(known, x, y)
 
 
