@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ ENDS = {"A": (2.3, 4.1), "T": (2.3, 4.1), "C": (0.1, -2.8), "G": (0.1, -2.8)}
 SALT, OLIGO = 0.05, 50e-9
 #: least, best, most
 SIZE, TM, GC, PRODUCT, POLY, UNKNOWN = (22, 25, 30), (59.0, 61.0, 63.0), (40.0, 60.0), (400, 600), 4, 1
+#: Most complementarity: anywhere and at a 3' end, of an oligo with itself and of a pair.
+SELF_ANY, SELF_END, PAIR_ANY, PAIR_END = 8, 3, 8, 3
 
 
 def wallace(gc: float, at: float) -> float:
@@ -105,21 +108,69 @@ def oligos(seq: str, low: int, high: int) -> list[tuple[float, int, int, float,
     return sorted(out)
 
 
+def _bits(seq: str) -> list[int]:
+    """Per base the places at which it stands, as bits, the first place lowest."""
+    return [sum(1 << k for k, c in enumerate(seq) if c == b) for b in "ACGT"]
+
+
+@lru_cache(maxsize=1 << 16)
+def complementarity(a: str, b: str) -> tuple[int, int]:
+    """(anywhere, at a 3' end): how well two oligos bind to one another, without gaps: 1 for each pair of complementary bases, -1 for each
+    other one, over the best stretch of any way to lay them side by side; at an end: over stretches that begin at the 3' end of either.
+
+    All pairs of one way are one number's bits; ways with fewer complementary pairs than the best stretch so far are passed over.
+    """
+    turned = b[::-1]  # b runs the other way
+    own, other, anywhere, end = _bits(a), _bits(turned)[::-1], 0, 0  # A meets T, C meets G
+    for shift in range(1 - len(b), len(a)):  # turned[k] lies under a[k + shift]
+        pairs = 0
+        for x, y in zip(own, other):
+            pairs |= x & (y << shift if shift >= 0 else y >> -shift)
+        low, high = max(0, shift), min(len(a), len(b) + shift)
+        if (n := pairs.bit_count()) > anywhere:
+            run = 0
+            for k in range(low, high):
+                run = max(0, run + (1 if pairs >> k & 1 else -1))
+                anywhere = max(anywhere, run)
+        if n > end:
+            # the 3' end of a is its last base, that of b the first of the turned one
+            for places in ((range(high - 1, low - 1, -1)) if high == len(a) else (), range(low, high) if low == shift else ()):
+                run = 0
+                for k in places:
+                    run += 1 if pairs >> k & 1 else -1
+                    end = max(end, run)
+    return anywhere, end
+
+
+def _binds_itself(seq: str) -> bool:
+    anywhere, end = complementarity(seq, seq)
+    return anywhere > SELF_ANY or end > SELF_END
+
+
+def _bind(left: str, right: str) -> bool:
+    anywhere, end = complementarity(left, right)
+    return anywhere > PAIR_ANY or end > PAIR_END
+
+
 def pick_pair(region: str, target_start: int, target_end: int) -> dict | None:
-    """The pair with the least penalty around the target; ties by left, then right place. None if there is none."""
+    """The pair with the least penalty around the target of those that bind neither themselves nor each other too well; ties by left,
+    then right place. None if there is none."""
     left = oligos(region, 0, target_start)
-    n = len(region)
-    right = [(p, n - s - k, k, tm, gc) for p, s, k, tm, gc in oligos(_revcomp(region), 0, n - target_end)]
+    n, turned = len(region), _revcomp(region)
+    right = [(p, n - s - k, k, tm, gc, turned[s : s + k]) for p, s, k, tm, gc in oligos(turned, 0, n - target_end)]
     best = None
     for p, a, k, tm, gc in left:
         if best and p >= best[0]:
             break
-        for q, b, m, tm2, gc2 in right:
-            size = b + m - a
-            if PRODUCT[0] <= size <= PRODUCT[1]:
-                key = (p + q, a, b)
-                if best is None or key < best[:3]:
-                    best = (*key, k, m, tm, gc, tm2, gc2, size)
+        own = region[a : a + k]
+        if _binds_itself(own):
+            continue
+        for q, b, m, tm2, gc2, other in right:
+            size, key = b + m - a, (p + q, a, b)
+            if best is not None and key >= best[:3]:
+                break
+            if PRODUCT[0] <= size <= PRODUCT[1] and not _binds_itself(other) and not _bind(own, other):
+                best = (*key, k, m, tm, gc, tm2, gc2, size)
                 break
     if best is None:
         return None
