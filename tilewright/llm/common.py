@@ -59,6 +59,7 @@ def map_steps(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Record
         for batch in batches:
             for part in steps(batch, column, limit, rows):
                 yield f(part)
+        pa.default_memory_pool().release_unused()  # workers live on: what Arrow keeps for later goes back
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from .common import map_steps, sha, texts
 SPACE = "▁"
 BYTE, CONTROL, UNKNOWN, NORMAL = 6, 3, 2, 1
 #: Distinct words whose ids a task remembers; beyond it the memory is emptied and filled again.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Symbols of a word above which its merges come from a heap.
 LONG = 4096
 
