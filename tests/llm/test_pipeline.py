@@ -14,7 +14,7 @@ from .test_secrets import brute as secret_brute
 
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "benchmark", "secret", "encode"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13)) and set(SQL) <= set(QUERIES)
 
 
 def test_equals_brute_force(spark, tmp_path):
