@@ -52,3 +52,12 @@ def test_picked_pairs_keep_the_limits():
             assert got["penalty"] == want[0] and (got["left_pos"], got["left_seq"], got["right_seq"]) in ties
             assert all(ok(x, y, 8, 3) for x, y in [(got["left_seq"],) * 2, (got["right_seq"],) * 2, (got["left_seq"], got["right_seq"])])
     assert found > 5
+
+
+def test_many_pairs_at_once_are_those_of_one_by_one():
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    left = [word(rng.randrange(1, 31)) for _ in range(300)]
+    right = [design._revcomp(x)[: rng.randrange(1, 31)] if k % 3 else word(rng.randrange(1, 31)) for k, x in enumerate(left)]
+    got = design.complementarities(design._rows(left, True), design._rows([x[::-1] for x in right], False))
+    assert list(zip(*(x.tolist() for x in got))) == [design.complementarity(a, b) for a, b in zip(left, right)]
