@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ from .graph import durable
 BLOCK_PRIMERS = 50_000
 #: Bases of a seed.
 LEAST_SEED, MOST_SEED = 4, 8
-#: Bases that are searched together, and cells that are compared together.
-TOGETHER, CELLS = 1 << 20, 8_000_000
+#: Bases that are searched together, cells that are compared together, and loci whose texts a task holds beside Arrow's batch.
+TOGETHER, CELLS, HELD = 1 << 18, 1_000_000, 200
 _MAP = str.maketrans(BASES, COMPLEMENT)
 
 
@@ -160,22 +160,25 @@ def _probes(name: str, rows: list[tuple[int, str, str, str]], limit: int) -> tup
 def _amplify(loci: DataFrame, sent: Broadcast, limit: int) -> DataFrame:
     name = uuid.uuid4().hex
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sent.value
         left, right = _probes(name, rows, limit)
-        ordinals, names = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], object)
-        for df in frames:
-            texts = [t or "" for t in df["sequence"]]
-            (la, pa, ma, a), (lb, pb, mb, b) = left.search(texts), right.search(texts)
-            _, x, y = np.intersect1d(la * len(rows) + pa, lb * len(rows) + pb, assume_unique=True, return_indices=True)
-            ahead = b[y] > a[x]
-            x, y = x[ahead], y[ahead]
-            end = b[y] + right.sizes[pb[y]]
-            own = df.iloc[la[x]]
-            columns = (ordinals[pa[x]], names[pa[x]], own["locus_ord"].to_numpy(), own["serotype"].to_numpy(), a[x], end, end - a[x], ma[x], mb[y], ma[x] + mb[y])
-            yield pd.DataFrame(dict(zip([c.split()[0] for c in AMPLICONS.split(", ")], columns)))
-
-    return loci.select("locus_ord", "serotype", "sequence").mapInPandas(run, AMPLICONS)
+        ordinals, names = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, HELD):
+                batch = whole.slice(at, HELD)
+                texts = [t or "" for t in batch.column(2).to_pylist()]
+                (la, pa_, ma, a), (lb, pb, mb, b) = left.search(texts), right.search(texts)
+                _, x, y = np.intersect1d(la * len(rows) + pa_, lb * len(rows) + pb, assume_unique=True, return_indices=True)
+                ahead = b[y] > a[x]
+                x, y = x[ahead], y[ahead]
+                end = b[y] + right.sizes[pb[y]]
+                primer, locus = pa.array(pa_[x]), pa.array(la[x])
+                numbers = [pa.array(v.astype(np.int32)) for v in (a[x], end, end - a[x], ma[x], mb[y], ma[x] + mb[y])]
+                yield pa.RecordBatch.from_arrays([ordinals.take(primer), names.take(primer), batch.column(0).take(locus), batch.column(1).take(locus), *numbers], [c.split()[0] for c in AMPLICONS.split(", ")])
+        pa.default_memory_pool().release_unused()  # workers live on
+
+    return loci.select(F.col("locus_ord").cast("bigint").alias("locus_ord"), "serotype", "sequence").mapInArrow(run, AMPLICONS)
 
 
 def by_size(low: int = 200, high: int = 1000) -> Column:
