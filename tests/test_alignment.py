@@ -104,3 +104,11 @@ def test_query_against_the_loci(spark):
     own = {r.locus_ord: r.sequence for r in queries.loci(spark, SF).collect()}
     near = [np.mean([a == b for a, b in zip(want[k], own[k])]) > 0.97 for k in want if k is not None]
     assert np.mean(near) > 0.9
+
+
+def test_small_groups_are_dealt_to_all_tasks(spark):
+    """A few hundred bytes are much work, so Spark mustn't put them together in one task."""
+    rows = [(k // 2, k, "ACGTTGCAAC" * 5) for k in range(1200)]
+    found = alignment.consensus(spark.createDataFrame(rows, "key bigint, window_idx bigint, sequence string"), "key", True)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.key, r.sequence) for r in found.collect()} == {(k, "ACGTTGCAAC" * 5) for k in range(600)}
