@@ -125,3 +125,24 @@ def test_kmer_counts_equal_plain_loops(spark):
             s = r.sequence or ""
             own = [x for i in range(len(s) - k + 1) if "N" not in (x := s[i : i + k])]
             assert (r.n_kmers, r.n_distinct) == (len(own), len(set(own)))
+
+
+@pytest.mark.parametrize("n", [3000, 20_000])
+def test_global_selection_makes_about_as_many_pairs_as_amplicons(spark, monkeypatch, n):
+    """All amplicons of one locus meet each other; so do those of every hundredth primer in a second one."""
+    made, conflicts = [], selection.conflicts
+
+    def counted(*args):
+        made.append((pairs := conflicts(*args)).count())
+        return pairs
+
+    monkeypatch.setattr(selection, "conflicts", counted)
+    ids = spark.range(n).select(F.col("id").alias("primer_ord"))
+    first = ids.where("primer_ord % 100 <> 7").selectExpr("'a' AS serotype", "primer_ord", "cast(primer_ord % 5 AS int) AS start", "cast(primer_ord % 5 + 30 AS int) AS end")
+    second = ids.where(f"primer_ord % 100 = 7 OR primer_ord = {n - 1}").selectExpr("'b' AS serotype", "primer_ord", "0 AS start", "9 AS end")
+    got = selection.select_globally(ids, first.unionByName(second), 1, width=64)
+    # the last one is in both loci, so it comes first and refuses everyone
+    assert [tuple(r) for r in got.collect()] == [(n - 1, 2)]
+    alone = selection.select_globally(ids, first.unionByName(second.where(f"primer_ord <> {n - 1}")), 1, width=64)
+    assert sorted(tuple(r) for r in alone.collect()) == [(0, 1), (7, 1)]
+    assert sum(made) < 4 * n

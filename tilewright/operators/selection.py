@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import near, neighbours, shared_fraction
-from .graph import durable
+from ..functions.intervals import crowding, near, neighbours, shared_fraction
+from .graph import durable, numbered, tidy
 
 
 def conflicts(amplicons: DataFrame, min_gap: int, width: int = 0) -> DataFrame:
@@ -18,32 +18,53 @@ def conflicts(amplicons: DataFrame, min_gap: int, width: int = 0) -> DataFrame:
     return both.select(F.col("l.primer_ord").alias("primer_ord"), F.col("r.primer_ord").alias("other")).distinct()
 
 
+def _refused(edges: DataFrame) -> DataFrame | None:
+    """Who is refused when primers are taken in turn: edges (primer_ord, other) lead from a primer to one behind it that it is in conflict
+    with. Whoever has no edge before it is taken and refuses all behind it. None where there are no edges."""
+    edges, refused = durable(edges), None
+    while not edges.isEmpty():
+        behind = edges.select(F.col("other").alias("primer_ord")).distinct()
+        out = durable(edges.join(behind, "primer_ord", "left_anti").select("other").distinct())
+        refused = out if refused is None else refused.unionByName(out)
+        edges = durable(edges.join(out, "other", "left_anti").join(out.withColumnRenamed("other", "primer_ord"), "primer_ord", "left_anti").select("primer_ord", "other"))
+    return refused
+
+
 def select_globally(primers: DataFrame, amplicons: DataFrame, min_gap: int = 100, keep_unmapped: bool = True, width: int = 0) -> DataFrame:
     """Primers taken one by one, those in the most loci first (ties by primer_ord), each if no amplicon of it is in conflict with an
     amplicon of one taken before. (primer_ord, loci). Primers without amplicons have no conflict; keep_unmapped takes them.
 
-    Done in rounds over the conflict graph: a primer is taken once all neighbours before it have been refused, and refused once
-    one has been taken. That gives the sequential result whatever the number of executors; nothing is collected.
+    Done in steps over ever longer heads of that order: only a head's own conflicts become pairs, and those that it takes strike out all
+    behind it that they are in conflict with before the next head, which is 8 times as long. What is left has few conflicts by then, so
+    pairs stay about as many as amplicons. A head whose places are too crowded for that is cut to an eighth. That gives the
+    sequential result whatever the number of executors; nothing is collected.
     """
-    loci = amplicons.groupBy("primer_ord").agg(F.count_distinct("serotype").alias("loci"))
+    g = max(min_gap, 1)
+    width = width or 4 * g
+    own = amplicons.where(F.col("serotype").isNotNull())
+    loci = own.groupBy("primer_ord").agg(F.count_distinct("serotype").alias("loci"))
     all_loci = primers.select("primer_ord").distinct().join(loci, "primer_ord", "left").select("primer_ord", F.coalesce("loci", F.lit(0)).alias("loci"))
-    if not keep_unmapped:
-        all_loci = all_loci.where("loci > 0")
-    nodes = durable(all_loci)
-    rank = lambda p: nodes.select(F.col("primer_ord").alias(p), F.struct((-F.col("loci")).alias("l"), F.col("primer_ord").alias("p")).alias(f"{p}_rank"))
-    pairs = conflicts(amplicons, min_gap, width).join(rank("primer_ord"), "primer_ord").join(rank("other"), "other")
-    first = F.col("primer_ord_rank") < F.col("other_rank")
-    edges = durable(pairs.select(F.when(first, F.col("primer_ord")).otherwise(F.col("other")).alias("before"), F.when(first, F.col("other")).otherwise(F.col("primer_ord")).alias("after")))
-    waiting, taken = nodes.select("primer_ord"), None
-    while True:
-        blocked = edges.select(F.col("after").alias("primer_ord")).distinct()
-        now = durable(waiting.join(blocked, "primer_ord", "left_anti"))
-        taken = now if taken is None else taken.unionByName(now)
-        refused = durable(edges.join(now.withColumnRenamed("primer_ord", "before"), "before", "left_semi").select(F.col("after").alias("primer_ord")).distinct())
-        waiting = durable(waiting.join(now, "primer_ord", "left_anti").join(refused, "primer_ord", "left_anti"))
-        if waiting.isEmpty():
-            return nodes.join(taken, "primer_ord", "left_semi")
-        edges = durable(edges.join(waiting.withColumnRenamed("primer_ord", "before"), "before", "left_semi").join(waiting.withColumnRenamed("primer_ord", "after"), "after", "left_semi"))
+    nodes = numbered(all_loci, "rank", F.desc("loci"), "primer_ord")
+    # from here on a primer's number is its place in the order
+    left = durable(own.join(nodes.select("primer_ord", "rank"), "primer_ord").select("serotype", "start", "end", F.col("rank").alias("primer_ord")))
+    most, last = max(left.count(), 10_000), nodes.where("loci > 0").count()
+    at, upto, taken = 0, max(last // 64, 1), nodes.where("loci = 0").select("rank") if keep_unmapped else nodes.where("false").select("rank")
+    while at < last:
+        upto = min(upto, last)
+        while upto > at + 1 and crowding(left.where(F.col("primer_ord") < upto), "serotype", g, width) > 4 * most:
+            upto = at + max((upto - at) // 8, 1)
+        head, rest = left.where(F.col("primer_ord") < upto), left.where(F.col("primer_ord") >= upto)
+        refused = _refused(conflicts(head, min_gap, width))
+        now = head.select("primer_ord").distinct()
+        now = durable(now if refused is None else now.join(refused.withColumnRenamed("other", "primer_ord"), "primer_ord", "left_anti"))
+        taken = taken.unionByName(now.withColumnRenamed("primer_ord", "rank"))
+        if upto < last:
+            meet = neighbours(head.join(now, "primer_ord", "left_semi"), rest, "serotype", g, width).where(near(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"), min_gap))
+            struck = meet.select(F.col("r.primer_ord").alias("primer_ord")).distinct()
+            left = durable(rest.join(struck, "primer_ord", "left_anti"))
+            tidy(left)
+        at, upto = upto, 8 * upto
+    return nodes.join(taken, "rank", "left_semi").select("primer_ord", "loci")
 
 
 def select_per_locus(amplicons: DataFrame, overlap: float = 0.7) -> DataFrame:
