@@ -146,3 +146,27 @@ def test_global_selection_makes_about_as_many_pairs_as_amplicons(spark, monkeypa
     alone = selection.select_globally(ids, first.unionByName(second.where(f"primer_ord <> {n - 1}")), 1, width=64)
     assert sorted(tuple(r) for r in alone.collect()) == [(0, 1), (7, 1)]
     assert sum(made) < 4 * n
+
+
+def test_per_locus_is_the_same_over_many_batches(spark):
+    """A locus that passes in several batches, missing places, and a locus without a name."""
+    own = sorted({(f"s{k % 3}", k % 17, (k * 7919) % 5000, (k * 7919) % 5000 + 1 + k % 40, 0) for k in range(3000)})
+    odd = [(None, 1, 5, 15, 0), (None, 2, 6, 16, 0), ("s9", 3, None, 4, 0), ("s9", 4, None, 4, 0), ("s9", 5, 1, 3, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {tuple(r) for r in selection.select_per_locus(spark.createDataFrame(own + odd, SCHEMA), 0.3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {*sequential_per_locus(own, 0.3), odd[0], *odd[2:]}
+
+
+def test_top_up_passes_over_what_earlier_loci_hold(spark, monkeypatch):
+    """B lacks one, and A before it holds B's 50 best: that takes a few rounds, not one for each."""
+    steps, durable = [], selection.durable
+    monkeypatch.setattr(selection, "durable", lambda df: steps.append(1) or durable(df))
+    picked = [("B", 1000 + k, 2000 + 50 * k, 2010 + 50 * k, 0) for k in range(49)]
+    shared = [(s, k, 10 * k, 10 * k + 10, 0) for s in "AB" for k in range(50)]
+    amplicons = spark.createDataFrame([*picked, *shared, ("B", 77, 900, 910, 1), ("B", 78, 910, 920, 1), (None, 79, 0, 9, 0)], SCHEMA)
+    added = selection.top_up(amplicons, spark.createDataFrame(picked, SCHEMA), 50).where("added")
+    assert sorted((r.serotype, r.primer_ord) for r in added.collect()) == [*(("A", k) for k in range(50)), ("B", 77)]
+    assert len(steps) < 12

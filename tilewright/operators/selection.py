@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import crowding, near, neighbours, shared_fraction
-from .graph import durable, numbered, tidy
+from .graph import dealt, durable, numbered, tidy
 
 
 def conflicts(amplicons: DataFrame, min_gap: int, width: int = 0) -> DataFrame:
@@ -69,58 +71,65 @@ def select_globally(primers: DataFrame, amplicons: DataFrame, min_gap: int = 100
 
 def select_per_locus(amplicons: DataFrame, overlap: float = 0.7) -> DataFrame:
     """Of each locus the amplicons by start (ties by primer_ord) that share less than `overlap` of the shorter one with every
-    amplicon taken before. (serotype, primer_ord, start, end, mismatches). A locus' intervals are one task's group."""
+    amplicon taken before. (serotype, primer_ord, start, end, mismatches). A locus' intervals pass through one task in their order;
+    it holds those taken that reach beyond the last start, not the locus."""
     slim = amplicons.select("serotype", "primer_ord", "start", "end", "mismatches")
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start", "primer_ord", "end"], kind="stable")
-        taken: list[tuple[int, int]] = []
-        keep = []
-        open_from = 0  # taken intervals before this one end before every later start
-        reach: list[int] = []  # furthest end of taken[: k + 1]
-        for s, e in zip(group["start"].tolist(), group["end"].tolist()):
-            while open_from < len(taken) and reach[open_from] <= s:
-                open_from += 1
-            ok = True
-            for a, b in taken[open_from:]:
-                shared, shorter = min(b, e) - max(a, s), min(b - a, e - s)
-                if shared > 0 and shorter > 0 and shared / shorter >= overlap:
-                    ok = False
-                    break
-            keep.append(ok)
-            if ok:
-                taken.append((s, e))
-                reach.append(max(e, reach[-1]) if reach else e)
-        return group[keep]
-
-    return slim.groupBy("serotype").applyInPandas(pick, slim.schema)
+    def plain(values: pa.Array) -> list:
+        return values.to_pylist() if values.null_count else values.to_numpy(zero_copy_only=False).tolist()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        locus: object = None
+        near_by: list[tuple[int, int]] = []
+        for batch in batches:
+            keep = []
+            for g, s, e in zip(*(plain(batch.column(c)) for c in ("serotype", "start", "end"))):
+                if g != locus:
+                    locus, near_by = g, []
+                if s is None or e is None:
+                    keep.append(True)
+                    continue
+                near_by = [x for x in near_by if x[1] > s]  # the others end before every later start
+                ok = True
+                for a, b in near_by:
+                    shared, shorter = (b if b < e else e) - s, b - a if b - a < e - s else e - s  # a is no later than s
+                    if shared > 0 and shorter > 0 and shared / shorter >= overlap:
+                        ok = False
+                        break
+                keep.append(ok)
+                if ok:
+                    near_by.append((s, e))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    order = [F.asc_nulls_last(c) for c in ("serotype", "start", "primer_ord", "end")]
+    return dealt(slim, "serotype").sortWithinPartitions(*order).mapInArrow(pick, slim.schema)
 
 
 def top_up(amplicons: DataFrame, picked: DataFrame, least: int = 5) -> DataFrame:
     """Names by locus after each locus with fewer than `least` picks got its best others. (serotype, primer_ord, added).
 
     Loci follow each other by name, and what one adds no later one may add again. Done in rounds: every short locus proposes its
-    best candidates, as many as it needs; each primer stays with the first of the loci that propose it; who lost some proposes as
-    many more. When nobody has more to propose, each locus holds what it would have got in turn, since a locus only ever loses
-    primers to loci before it. Nothing meets in one task but a locus' own candidates, to be ranked.
+    best candidates, as many as it lacks; each primer stays with the first of the loci that propose it; who lost some proposes as
+    many more. Candidates that a locus before holds are left out, since they stay with it or go to one further before; so are loci
+    before the first one that lacks something, since nobody takes from them any more. When nobody has more to propose, each
+    locus holds what it would have got in turn. Nothing meets in one task but a locus' own candidates, to be ranked.
     """
     counts = picked.groupBy("serotype").agg(F.count("*").alias("n"))
-    short = amplicons.select("serotype").distinct().join(counts, "serotype", "left").where(F.coalesce("n", F.lit(0)) < least).select("serotype", (least - F.coalesce("n", F.lit(0))).alias("need"))
     # a primer that a locus before this one picked can't be added; picks of later loci don't matter
     first = picked.groupBy("primer_ord").agg(F.min("serotype").alias("first"))
-    open_to = amplicons.join(short, "serotype").join(first, "primer_ord", "left").where(F.col("first").isNull() | (F.col("first") > F.col("serotype")))
-    once = open_to.groupBy("serotype", "primer_ord").agg(F.min(F.struct("mismatches", "start")).alias("by"), F.first("need").alias("need"))
-    ranked = durable(once.withColumn("k", F.row_number().over(Window.partitionBy("serotype").orderBy("by", "primer_ord"))).drop("by"))
-    limits = durable(ranked.groupBy("serotype").agg(F.first("need").alias("need"), F.max("k").alias("most")).withColumn("upto", F.least(F.col("need").cast("bigint"), F.col("most").cast("bigint"))))
-    while True:
-        proposed = ranked.select("serotype", "primer_ord", "k").join(limits.select("serotype", "upto"), "serotype").where("k <= upto")
-        held = durable(proposed.groupBy("primer_ord").agg(F.min("serotype").alias("serotype")))
-        got = limits.join(held.groupBy("serotype").agg(F.count("*").alias("n")), "serotype", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        lacking = F.least(F.col("need") - F.col("n"), F.col("most") - F.col("upto"))
-        limits = durable(got.select("serotype", "need", "most", (F.col("upto") + F.greatest(lacking, F.lit(0))).alias("upto"), (lacking > 0).alias("more")))
-        if limits.where("more").isEmpty():
-            break
-        limits = limits.drop("more")
+    open_to = amplicons.where(F.col("serotype").isNotNull()).join(first, "primer_ord", "left").where(F.col("first").isNull() | (F.col("first") > F.col("serotype")))
+    once = open_to.groupBy("serotype", "primer_ord").agg(F.min(F.struct("mismatches", "start")).alias("by"))
+    short = once.join(counts, "serotype", "left").withColumn("need", least - F.coalesce("n", F.lit(0))).where("need > 0")
+    in_turn = Window.partitionBy("serotype")
+    rows = durable(short.select("serotype", "primer_ord", "need", F.row_number().over(in_turn.orderBy("by", "primer_ord")).alias("k"), F.col("need").alias("lacks")))
+    held = rows.where("false").select("serotype", "primer_ord")
+    while (at := rows.where("k <= lacks").agg(F.min("serotype")).first()[0]) is not None:
+        proposed = rows.where("k <= lacks").select("serotype", "primer_ord")
+        held = durable(held.unionByName(proposed).groupBy("primer_ord").agg(F.min("serotype").alias("serotype")))
+        holds = held.groupBy("serotype").agg(F.count("*").alias("n"))
+        others = rows.where((F.col("serotype") >= at) & (F.col("k") > F.col("lacks"))).join(held.withColumnRenamed("serotype", "by"), "primer_ord", "left").where(F.col("by").isNull() | (F.col("by") > F.col("serotype")))
+        rows = durable(others.join(holds, "serotype", "left").select("serotype", "primer_ord", "need", F.row_number().over(in_turn.orderBy("k")).alias("k"), F.greatest(F.col("need") - F.coalesce("n", F.lit(0)), F.lit(0)).alias("lacks")))
+        tidy(rows)
     return picked.select("serotype", "primer_ord", F.lit(False).alias("added")).unionByName(held.select("serotype", "primer_ord", F.lit(True).alias("added")))
 
 
