@@ -64,3 +64,15 @@ def test_oligos_equal_plain_loops():
                 if 40 <= gc <= 60 and "N" not in s and design.longest_run(s) <= 4 and 59 <= tm <= 63:
                     want.append((abs(tm - 61) + abs(size - 25), start, size, tm, gc))
         assert design.oligos(seq, 10, 10 + n) == sorted(want)
+
+
+def test_cluster_summary_finds_copies_beyond_the_band(spark, tmp_path):
+    """Equal and near copies that stand further apart than the band are one cluster."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    first = text(1000)
+    docs = [(0, first), (1, text(60_000)), (2, first), (3, text(60_000)), (4, first[:500] + "q" + first[501:])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.cluster_summary(spark, str(tmp_path)).collect()
+    assert [(r.cluster_no, r.num_windows, r.num_serotypes) for r in rows if r.serotypes_covered == "0,2,4"] == [(0, 3, 3)]
+    assert len(rows) == 1 + 2 * 119 and sum(r.num_windows for r in rows) == 3 + 2 * 119
