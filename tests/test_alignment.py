@@ -112,3 +112,24 @@ def test_small_groups_are_dealt_to_all_tasks(spark):
     found = alignment.consensus(spark.createDataFrame(rows, "key bigint, window_idx bigint, sequence string"), "key", True)
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(r.key, r.sequence) for r in found.collect()} == {(k, "ACGTTGCAAC" * 5) for k in range(600)}
+
+
+@pytest.mark.parametrize("mode", ["majority", "aligned"])
+def test_all_windows_of_large_clusters_vote(spark, monkeypatch, mode):
+    """The longest window of a large cluster is not what most of its windows say."""
+    monkeypatch.setattr(alignment, "PART", 7)
+    rng = random.Random(9)
+    rows, want = [], {}
+    for c in range(3):
+        base = "".join(rng.choice("ACGT") for _ in range(60))
+        want[c] = base, 11 + 10 * c
+        for k in range(11 + 10 * c):
+            at = rng.randrange(0, 60) if k else 30
+            rows.append((len(rows), c, base[:at] + {"A": "C", "C": "G", "G": "T", "T": "A"}[base[at]] + base[at + 1 :]))
+    rows += [(1000 + k, None, "ACGT" if k % 3 else "ACG") for k in range(12)] + [(2000 + k, 9, "N") for k in range(20)] + [(3000, 10, "AC")]
+    members = spark.createDataFrame(rows, "window_idx bigint, cluster_no bigint, sequence string")
+    got = {r.cluster_no: (r.sequence, r.num_windows) for r in consensus.representatives(members, mode=mode).collect()}
+    own = {k: v for k, v in got.items() if k is not None}
+    assert own == want | {9: ("N", 20), 10: ("AC", 1)}
+    plain = {r.cluster_no: r.sequence for r in consensus.column_majority(members.where("cluster_no < 9"), "cluster_no").collect()}
+    assert {k: v for k, (v, _) in want.items()} == plain
