@@ -61,3 +61,33 @@ def test_many_pairs_at_once_are_those_of_one_by_one():
     right = [design._revcomp(x)[: rng.randrange(1, 31)] if k % 3 else word(rng.randrange(1, 31)) for k, x in enumerate(left)]
     got = design.complementarities(design._rows(left, True), design._rows([x[::-1] for x in right], False))
     assert list(zip(*(x.tolist() for x in got))) == [design.complementarity(a, b) for a, b in zip(left, right)]
+
+
+def test_tiles_are_designed_together_as_one_by_one():
+    """Oligos of many tiles are laid on themselves together, and a tile's pairs of several left oligos at once."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    tiles = [(t, 100, min(600, len(t))) for t in [*(word(rng.choice([400, 640, 700])) for _ in range(40)), "A" * 700, "", word(90), word(300) + "N" * 40 + word(360)]]
+    tiles += [(word(1500), 650, 900)]  # a side longer than SUMMED
+    got = design.pick_pairs(tiles)
+    assert got == [design.pick_pair(*t) for t in tiles] and 5 < sum(x is not None for x in got) < len(tiles)
+
+    def plain(region, low, high):
+        left, turned, n = design.oligos(region, 0, low), region.translate(str.maketrans("ACGT", "TGCA"))[::-1], len(region)
+        right = [(p, n - s - k, k, turned[s : s + k]) for p, s, k, _, _ in design.oligos(turned, 0, n - high)]
+        alone = lambda s: design.complementarity(s, s)[0] <= design.SELF_ANY and design.complementarity(s, s)[1] <= design.SELF_END
+        free = lambda s, t: design.complementarity(s, t)[0] <= design.PAIR_ANY and design.complementarity(s, t)[1] <= design.PAIR_END
+        left = [(p, a, k, region[a : a + k]) for p, a, k, _, _ in left if alone(region[a : a + k])]
+        right = [x for x in right if alone(x[3])]
+        return min(((p + q, a, b) for p, a, k, s in left for q, b, m, t in right if design.PRODUCT[0] <= b + m - a <= design.PRODUCT[1] and free(s, t)), default=None)
+
+    for tile, one in list(zip(tiles, got))[:12]:
+        assert (one and (one["penalty"], one["left_pos"], one["right_pos"] - len(one["right_seq"]) + 1)) == plain(*tile)
+
+
+def test_melting_from_running_sums_is_the_plain_one():
+    rng = random.Random(12)
+    seq = "".join(rng.choice("ACGT") for _ in range(1300))
+    found = design.oligos(seq, 0, 1300)
+    assert len(found) > 500 and all(tm == design.melting(seq[a : a + n]) for _, a, n, tm, _ in found)
+    assert max(a for _, a, _, _, _ in found) > 2 * design.SUMMED
