@@ -133,3 +133,22 @@ def test_all_windows_of_large_clusters_vote(spark, monkeypatch, mode):
     assert own == want | {9: ("N", 20), 10: ("AC", 1)}
     plain = {r.cluster_no: r.sequence for r in consensus.column_majority(members.where("cluster_no < 9"), "cluster_no").collect()}
     assert {k: v for k, (v, _) in want.items()} == plain
+
+
+def test_numbers_of_32_bits_and_of_64_give_one_alignment(monkeypatch):
+    """Jobs of all shifts are laid in one frame; sums that 32 bits can't hold take 64."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    base = word(120)
+    texts = [[base[x : x + 60] for x in (0, 9, 40, 3)], [base, base[:50] + base[90:], word(70)], ["", word(5)], [word(3), ""], [base[:30], base[80:]]]
+    narrow = [alignment.columns(texts, band) for band in (1, 8, 200)]
+    many = [alignment.Job(c * 10**7, 10**7, alignment.encode(base[5:70])) for c in narrow[0][:2]]
+    few = [alignment.Job(c, 1, alignment.encode(base[5:70])) for c in narrow[0][:2]]
+    assert [(t, p) for t, p in alignment.lay(many)] == [(t * 10**7, p) for t, p in alignment.lay(few)]
+    monkeypatch.setattr(alignment, "LOW32", 0)
+    assert all(np.array_equal(x, y) for a, band in zip(narrow, (1, 8, 200)) for x, y in zip(a, alignment.columns(texts, band)))
+
+
+def test_seeds_are_numbers_of_their_bases():
+    x = np.random.default_rng(1).integers(0, 5, 40)
+    assert alignment._seeded(x).tolist() == [sum(int(b) * 5 ** (alignment.SEED - 1 - k) for k, b in enumerate(x[i : i + alignment.SEED])) for i in range(41 - alignment.SEED)]
